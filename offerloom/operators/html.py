@@ -244,12 +244,13 @@ def _criteria(nodes: Column) -> dict[str, Column]:
         "seniority": F.when(fallback_on, squeeze(F.get(dots, F.lit(0)))),
         "work_modality_english": F.when(fallback_on, squeeze(F.get(dots, F.lit(1)))),
     }
+    def last_value(field: str) -> Column:
+        matching = F.filter(pairs, lambda p: field_of(p["header"]) == field)
+        return F.try_element_at(matching, F.lit(-1))["value"]
+
     found = {}
     for field, _ in CRITERIA_HEADERS:
-        values = F.transform(
-            F.filter(pairs, lambda p, f=field: field_of(p["header"]) == f), lambda p: p["value"]
-        )
-        last = F.try_element_at(values, F.lit(-1))
+        last = last_value(field)
         found[field] = F.coalesce(last, fallback[field]) if field in fallback else last
     return found
 

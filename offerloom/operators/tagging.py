@@ -113,7 +113,7 @@ def with_tags(
         source = df if when is None else df.where(when)
         tagged = tags_by_join(source, id_col, text_col, terms)
         return df.join(tagged.withColumnRenamed("tags", out_col), id_col, "left")
-    ordered = [r["skill"] for r in sorted(rows, key=lambda r: r["pos"])]
+    ordered = [r["skill"] for r in sorted(rows, key=lambda r: (r["pos"], r["skill"]))]
     text = F.col(text_col) if when is None else F.when(when, F.col(text_col))
     if ahocorasick is None or len(ordered) <= SCAN_TERMS:
         return df.withColumn(out_col, tags_by_scan(text, ordered))

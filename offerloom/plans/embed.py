@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.vectors import mean_vector
@@ -11,6 +11,12 @@ from offerloom.operators.filters import first_rows, ids_missing_from, ids_presen
 from offerloom.operators.skew import salted_join
 
 
+def _labelled(out: str, col: str) -> Column:
+    """Array of ``(out, phrase)`` for one phrase list; a null list counts as empty."""
+    phrases = F.coalesce(F.col(col), F.array().cast("array<string>"))
+    return F.transform(phrases, lambda p: F.struct(F.lit(out).alias("out"), p.alias("phrase")))
+
+
 def _pooled(
     df: DataFrame,
     key: str,
@@ -22,13 +28,7 @@ def _pooled(
 
     Rows with an empty list have no mean and are dropped.
     """
-    entries = [
-        F.transform(
-            F.coalesce(F.col(col), F.array().cast("array<string>")),
-            lambda p, out=out: F.struct(F.lit(out).alias("out"), p.alias("phrase")),
-        )
-        for out, col in lists.items()
-    ]
+    entries = [_labelled(out, col) for out, col in lists.items()]
     listed = df.select(key, F.inline(F.concat(*entries))).where("phrase is not null")
     vectors = embed_phrases(listed, factory, partitions=partitions)
     joined = salted_join(listed, vectors, ["phrase"], key)
