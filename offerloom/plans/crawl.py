@@ -58,14 +58,14 @@ def crawl(
         .agg(newest.alias("body"))
         .select(F.col("link").alias("url"), "body")
     )
-    details = detail_rows(wanted, as_of)
-    rows = details.join(links, details["url"] == links["link"]).select(
-        *[c for c in details.columns if c not in ("url", "publication_date")],
-        links["link"],
-        F.col("role").alias("query_keyword"),
-        F.lit(SEARCH_DEFAULTS["location"]).alias("country"),
-        F.lit(None).cast("string").alias("apply_link"),
-        day_text(F.col("publication_date")).alias("publication_date"),
-        day_text(as_of_column(as_of)).alias("scraping_date"),
+    details = detail_rows(wanted, as_of).withColumnRenamed("url", "link")
+    rows = details.join(links, "link").withColumns(
+        {
+            "query_keyword": F.col("role"),
+            "country": F.lit(SEARCH_DEFAULTS["location"]),
+            "apply_link": F.lit(None).cast("string"),
+            "publication_date": day_text(F.col("publication_date")),
+            "scraping_date": day_text(as_of_column(as_of)),
+        }
     )
     return rows.select(*RAW_OFFERS.fieldNames())
