@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.bindings import Bound, table
+from offerloom.bindings import Bound, table, text_table
 from offerloom.bindings.texts import PART_WORDS_SQL, key_sql, part_words
 from offerloom.functions.dates import day_text
 from offerloom.functions.keys import stable_key
@@ -171,7 +171,7 @@ SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
 
 def dictionary_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents, lowercased and distinct, at their first document."""
-    words = table(spark, folder, "documents").select(
+    words = text_table(spark, folder, "documents").select(
         F.col("doc_id").alias("pos"), F.explode(F.split(F.lower("text"), " ")).alias("skill")
     )
     return distinct_at_first_position(words, "skill", "pos")
@@ -259,7 +259,7 @@ _LINK = "https://jobs.example.com/view/"
 
 def _document_offers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents as raw offers; conversation turns and labelled documents as stored ones."""
-    documents = table(spark, folder, "documents")
+    documents = text_table(spark, folder, "documents")
     age = F.floor(F.col("n_chars") / 400).cast("int")
     link = F.concat(F.lit(_LINK), "n_chars", F.lit("?ref="), "doc_id")
     as_of = F.lit("2024-01-25").cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.bindings import Bound, table
+from offerloom.bindings import Bound, table, text_table
 from offerloom.operators import profile
 
 
@@ -60,7 +60,7 @@ _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumbe
 
 
 def profile_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = text_table(spark, folder, "lineitem")
     numbers = profile.numeric_profile(lines, list(_NUMERIC))
     rounded = [F.round(c, 5).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
     return numbers.select("column", "n", *rounded)
@@ -79,7 +79,7 @@ _CATEGORIES = ("l_returnflag", "l_linestatus", "l_suppkey", "l_partkey")
 
 
 def profile_categorical(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.categorical_profile(table(spark, folder, "lineitem"), list(_CATEGORIES))
+    return profile.categorical_profile(text_table(spark, folder, "lineitem"), list(_CATEGORIES))
 
 
 PROFILE_CATEGORICAL_SQL = f"""

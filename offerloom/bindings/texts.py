@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.bindings import Bound, table
+from offerloom.bindings import Bound, table, text_table
 from offerloom.functions.dates import relative_date
 from offerloom.functions.keys import BASE57, DNS_NAMESPACE_HEX, match_key, split_match_key, stable_key
 from offerloom.functions.text import (
@@ -44,7 +44,7 @@ STABLE_KEYS_SQL = f"SELECT page_id, {key_sql('url')} AS job_id FROM pages"
 
 def keyword_flag(spark: SparkSession, folder: str) -> DataFrame:
     flag = any_contains_ci([F.col("text"), F.col("source")], "LICENSE")
-    return table(spark, folder, "documents").select("doc_id", flag.alias("flagged"))
+    return text_table(spark, folder, "documents").select("doc_id", flag.alias("flagged"))
 
 
 KEYWORD_FLAG_SQL = """
@@ -79,7 +79,7 @@ words AS (
 
 
 def dictionary_tags(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = text_table(spark, folder, "documents").select("doc_id", "text")
     return _joined_tags(with_tags(documents, "doc_id", "text", part_words(spark, folder)))
 
 
@@ -101,7 +101,7 @@ def benchmark_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dictionary_tags_large(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = text_table(spark, folder, "documents").select("doc_id", "text")
     return _joined_tags(with_tags(documents, "doc_id", "text", benchmark_words(spark, folder)))
 
 
@@ -118,7 +118,7 @@ DICTIONARY_TAGS_LARGE_SQL = f"WITH {BENCHMARK_WORDS_SQL} {_TAGS_SQL}"
 def language_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Token and hit counts of every document, and whether a Spanish-only seeker sees it."""
     words = benchmark_words(spark, folder).select(F.col("skill").alias("word"))
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = text_table(spark, folder, "documents").select("doc_id", "text")
     flags = english_flags(documents, "doc_id", "text", words)
     shown = language_allowed(F.lit(False), F.col("is_english"))
     return flags.select("doc_id", "n_tokens", "n_hits", "is_english", shown.alias("shown"))

@@ -45,13 +45,24 @@ def relative_date(phrase: Column, as_of: datetime | str | Column) -> Column:
     """Date meant by ``hace 3 días`` or ``3 days ago``; anything else is the day of ``as_of``."""
     now = as_of_column(as_of)
     words = F.split(F.trim(F.regexp_replace(F.lower(phrase), r"(?U)\s+", " ")), " ")
-    long_enough = F.size(words) >= 3
-    spanish = long_enough & F.array_contains(words, "hace")
-    english = long_enough & F.array_contains(words, "ago")
-    amount = F.when(spanish, F.get(words, F.lit(1))).when(english, F.get(words, F.lit(0)))
-    unit = F.when(spanish, F.get(words, F.lit(2))).when(english, F.get(words, F.lit(1)))
-    value = amount.try_cast("bigint")
+    # One-element arrays serve as local names: a phrase is taken apart once.
+    amounts = F.transform(F.array(words), _amount)
+    moved = F.transform(amounts, lambda p: _moved_day(now, p["value"], p["unit"]))
+    return F.coalesce(F.get(moved, F.lit(0)), now.cast("date"))
 
+
+def _amount(words: Column) -> Column:
+    """Value and unit of a phrase: ``hace <value> <unit>`` or ``<value> <unit> ago``."""
+    first = (
+        F.when(F.size(words) < 3, None)
+        .when(F.array_contains(words, "hace"), F.lit(1))
+        .when(F.array_contains(words, "ago"), F.lit(0))
+    )
+    value = F.get(words, first).try_cast("bigint")
+    return F.struct(value.alias("value"), F.get(words, first + 1).alias("unit"))
+
+
+def _moved_day(now: Column, value: Column, unit: Column) -> Column:
     result = None
     for names, kind, factor in UNIT_WORDS:
         hit = F.lit(False)
@@ -65,4 +76,4 @@ def relative_date(phrase: Column, as_of: datetime | str | Column) -> Column:
         else:
             moved = (now - F.make_dt_interval(F.lit(0), F.lit(0), span)).cast("date")
         result = F.when(hit, moved) if result is None else result.when(hit, moved)
-    return F.coalesce(result, now.cast("date"))
+    return result

@@ -7,7 +7,8 @@ from Spark expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from html.parser import HTMLParser
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.dates import as_of_column, relative_date
+from offerloom.functions.dates import relative_date
 from offerloom.functions.text import parse_count, squeeze
 from offerloom.functions.urls import canonical_url
 
@@ -70,10 +71,25 @@ _VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 _SILENT_TAGS = frozenset(("script", "style", "template"))
-_NODE = pa.struct(
-    [("kind", pa.string()), ("parent", pa.int32()), ("text", pa.string()), ("href", pa.string())]
+_CRITERION = pa.struct([("header", pa.string()), ("value", pa.string())])
+_DETAIL = pa.struct(
+    [
+        ("title", pa.string()),
+        ("company", pa.string()),
+        ("bullet", pa.string()),
+        ("flavors", pa.list_(pa.string())),
+        ("posted", pa.string()),
+        ("description", pa.string()),
+        ("criteria", pa.list_(_CRITERION)),
+        ("insight", pa.string()),
+    ]
 )
-NODE_DDL = "array<struct<kind:string,parent:int,text:string,href:string>>"
+_DETAIL_DDL = (
+    "title string, company string, bullet string, flavors array<string>, posted string, "
+    "description string, criteria array<struct<header:string,value:string>>, insight string"
+)
+_LISTING = pa.struct([("total", pa.string()), ("hrefs", pa.list_(pa.string()))])
+_LISTING_DDL = "total string, hrefs array<string>"
 
 
 class _NodeFinder(HTMLParser):
@@ -134,32 +150,73 @@ class _NodeFinder(HTMLParser):
                 self.nodes[at]["text"].append(data)
 
 
-def _find(page: str | None, selectors: tuple[Selector, ...]) -> list[dict] | None:
-    if page is None:
-        return None
+def _find(page: str, selectors: tuple[Selector, ...]) -> dict[str, list[dict]]:
+    """Matching nodes by kind, in document order, each with its position and its text."""
     finder = _NodeFinder(selectors)
     finder.feed(page)
     finder.close()
-    return [{**node, "text": "".join(node["text"])} for node in finder.nodes]
+    found: dict[str, list[dict]] = {s.kind: [] for s in selectors}
+    for at, node in enumerate(finder.nodes):
+        found[node["kind"]].append({**node, "at": at, "text": "".join(node["text"])})
+    return found
 
 
-def matching_nodes(body: Column, selectors: tuple[Selector, ...]) -> Column:
-    """Array of matching nodes, in document order; ``parent`` indexes this array."""
+def _first(found: dict[str, list[dict]], kind: str, parent: int | None = None) -> str | None:
+    for node in found.get(kind, ()):
+        if parent is None or node["parent"] == parent:
+            return node["text"]
+    return None
+
+
+def _listing_parts(found: dict[str, list[dict]]) -> dict:
+    cards = found.get("link_in_list") or found.get("link") or ()
+    return {"total": _first(found, "total"), "hrefs": [node["href"] for node in cards]}
+
+
+def _detail_parts(found: dict[str, list[dict]]) -> dict:
+    single = ("title", "company", "bullet", "posted", "description", "insight")
+    sublines = found.get("subline", ())
+    return {
+        **{kind: _first(found, kind) for kind in single},
+        "flavors": [
+            node["text"] for node in found.get("flavor", ())
+            if sublines and node["parent"] == sublines[0]["at"]
+        ],
+        "criteria": [
+            {
+                "header": _first(found, "criterion_header", item["at"]),
+                "value": _first(found, "criterion_text", item["at"]),
+            }
+            for item in found.get("criterion", ())
+        ],
+    }
 
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            nodes = [_find(page, selectors) for page in batch.to_pylist()]
-            yield pa.array(nodes, type=pa.list_(_NODE))
 
-    return F.arrow_udf(find, NODE_DDL)(body)
+def _parts(
+    body: Column,
+    selectors: tuple[Selector, ...],
+    pick: Callable[[dict[str, list[dict]]], dict],
+    kind: pa.DataType,
+    ddl: str,
+) -> Column:
+    """Raw texts of one page as a struct; null for a null page."""
 
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [
+                None if page is None else pick(_find(page, selectors))
+                for page in batch.to_pylist()
+            ]
+            yield pa.array(rows, type=kind)
 
-def of_kind(nodes: Column, kind: str) -> Column:
-    return F.filter(nodes, lambda n: n["kind"] == kind)
+    # Marked nondeterministic so that a filter on the result is not pushed below it,
+    # which would parse every page a second time.
+    return F.arrow_udf(extract, f"struct<{_typed(ddl)}>").asNondeterministic()(body)
 
 
-def first_text(nodes: Column, kind: str) -> Column:
-    return squeeze(F.get(of_kind(nodes, kind), F.lit(0))["text"])
+def _typed(ddl: str) -> str:
+    """``name type, ...`` in the ``name:type`` form that nested types use."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl)
 
 
 def not_blocked(url: Column, body: Column) -> Column:
@@ -178,80 +235,56 @@ def listing_links(
     Links inside the result list are used when there are any, all card links
     otherwise. Links without ``marker`` are skipped and the rest made canonical.
     """
+    parts = _parts(F.col("body"), selectors, _listing_parts, _LISTING, _LISTING_DDL)
     parsed = pages.where(not_blocked(F.col("url"), F.col("body"))).select(
-        "url", *keep, matching_nodes(F.col("body"), selectors).alias("nodes")
+        "url", *keep, parts.alias("parts")
     )
-    in_list = of_kind(F.col("nodes"), "link_in_list")
-    cards = F.when(F.size(in_list) > 0, in_list).otherwise(of_kind(F.col("nodes"), "link"))
-    hrefs = F.filter(F.transform(cards, lambda n: n["href"]), lambda h: F.contains(h, F.lit(marker)))
+    hrefs = F.filter("parts.hrefs", lambda h: F.contains(h, F.lit(marker)))
     links = F.array_distinct(F.transform(hrefs, canonical_url))
-    total = F.get(of_kind(F.col("nodes"), "total"), F.lit(0))["text"]
     return parsed.select(
-        "url", *keep, parse_count(total).alias("total"), F.explode(links).alias("link")
+        "url", *keep, parse_count(F.col("parts.total")).alias("total"), F.explode(links).alias("link")
     )
 
 
-def _location(nodes: Column) -> Column:
+def _location(parts: Column) -> Column:
     """Bullet text, else the second flavor unless it is a count or an age, else the first."""
-    bullets = of_kind(nodes, "bullet")
-    subline = F.array_position(F.transform(nodes, lambda n: n["kind"]), "subline").cast("int") - 1
-    flavors = F.transform(
-        F.filter(nodes, lambda n: (n["kind"] == "flavor") & (n["parent"] == subline)),
-        lambda n: squeeze(n["text"]),
-    )
-    first, second = F.get(flavors, F.lit(0)), F.get(flavors, F.lit(1))
-    no_place = F.contains(F.lower(second), F.lit("solicit")) | F.contains(
-        F.lower(second), F.lit("hace")
-    )
-    return F.when(F.size(bullets) > 0, squeeze(F.get(bullets, F.lit(0))["text"])).otherwise(
+    first = squeeze(F.get(parts["flavors"], F.lit(0)))
+    second = squeeze(F.get(parts["flavors"], F.lit(1)))
+    no_place = F.lower(second).rlike("solicit|hace")
+    return F.when(parts["bullet"].isNotNull(), squeeze(parts["bullet"])).otherwise(
         F.when(second.isNull() | no_place, first).otherwise(second)
     )
 
 
-def _criteria(nodes: Column) -> dict[str, Column]:
-    """The four criteria; a later item of the same kind replaces an earlier one."""
-    items = F.filter(
-        F.transform(nodes, lambda n, i: F.struct(n["kind"].alias("kind"), i.alias("at"))),
-        lambda n: n["kind"] == "criterion",
-    )
+def _criteria(parts: Column) -> dict[str, Column]:
+    """The four criteria; a later item of the same kind replaces an earlier one.
 
-    def part(item: Column, kind: str) -> Column:
-        inner = F.filter(nodes, lambda n: (n["kind"] == kind) & (n["parent"] == item["at"]))
-        return squeeze(F.get(inner, F.lit(0))["text"])
-
-    pairs = F.filter(
-        F.transform(
-            items,
-            lambda item: F.struct(
-                F.lower(part(item, "criterion_header")).alias("header"),
-                part(item, "criterion_text").alias("value"),
-            ),
-        ),
-        lambda p: p["header"].isNotNull() & p["value"].isNotNull(),
+    Pages without a criteria list may name seniority and type in one line instead.
+    """
+    complete = F.filter(
+        parts["criteria"], lambda c: c["header"].isNotNull() & c["value"].isNotNull()
     )
-
-    def field_of(header: Column) -> Column:
-        result = F.lit(None).cast("string")
-        for field, words in reversed(CRITERIA_HEADERS):
-            hit = F.contains(header, F.lit(words[0])) | F.contains(header, F.lit(words[1]))
-            result = F.when(hit, F.lit(field)).otherwise(result)
-        return result
-
-    insight = F.get(of_kind(nodes, "insight"), F.lit(0))["text"]
-    dots = F.split(insight, "·")
-    fallback_on = (F.size(items) == 0) & F.contains(insight, F.lit(" · "))
+    dots = F.split(parts["insight"], "·")
+    listless = (F.size(parts["criteria"]) == 0) & F.contains(parts["insight"], F.lit(" · "))
     fallback = {
-        "seniority": F.when(fallback_on, squeeze(F.get(dots, F.lit(0)))),
-        "work_modality_english": F.when(fallback_on, squeeze(F.get(dots, F.lit(1)))),
+        "seniority": F.when(listless, squeeze(F.get(dots, F.lit(0)))),
+        "work_modality_english": F.when(listless, squeeze(F.get(dots, F.lit(1)))),
     }
-    def last_value(field: str) -> Column:
-        matching = F.filter(pairs, lambda p: field_of(p["header"]) == field)
-        return F.try_element_at(matching, F.lit(-1))["value"]
-
-    found = {}
-    for field, _ in CRITERIA_HEADERS:
-        last = last_value(field)
-        found[field] = F.coalesce(last, fallback[field]) if field in fallback else last
+
+    def last_value(words: tuple[str, ...], earlier: list[str]) -> Column:
+        pattern, taken = "|".join(words), "|".join(earlier)
+
+        def is_field(item: Column) -> Column:
+            header = F.lower(item["header"])
+            return header.rlike(pattern) & ~header.rlike(taken) if taken else header.rlike(pattern)
+
+        return squeeze(F.try_element_at(F.filter(complete, is_field), F.lit(-1))["value"])
+
+    found, earlier = {}, []
+    for field, words in CRITERIA_HEADERS:
+        value = last_value(words, earlier)
+        found[field] = F.coalesce(value, fallback[field]) if field in fallback else value
+        earlier = [*earlier, *words]
     return found
 
 
@@ -267,21 +300,19 @@ def detail_rows(
     """
     title_class = next(s.css_class for s in selectors if s.kind == "title")
     body = F.col("body")
+    extracted = _parts(body, selectors, _detail_parts, _DETAIL, _DETAIL_DDL)
     parsed = pages.where(
         not_blocked(F.col("url"), body) & F.contains(body, F.lit(title_class))
-    ).select("url", *keep, matching_nodes(body, selectors).alias("nodes"))
-    nodes = F.col("nodes")
-    posted = F.get(of_kind(nodes, "posted"), F.lit(0))["text"]
-    criteria = _criteria(nodes)
-    return parsed.where(F.size(of_kind(nodes, "title")) > 0).select(
+    ).select("url", *keep, extracted.alias("parts"))
+    parts = F.col("parts")
+    criteria = _criteria(parts)
+    return parsed.where(parts["title"].isNotNull()).select(
         "url",
         *keep,
-        first_text(nodes, "title").alias("vacancy_name"),
-        first_text(nodes, "company").alias("company"),
-        _location(nodes).alias("location"),
+        squeeze(parts["title"]).alias("vacancy_name"),
+        squeeze(parts["company"]).alias("company"),
+        _location(parts).alias("location"),
         *[criteria[field].alias(field) for field, _ in CRITERIA_HEADERS],
-        first_text(nodes, "description").alias("description"),
-        F.coalesce(relative_date(posted, as_of), as_of_column(as_of).cast("date")).alias(
-            "publication_date"
-        ),
+        squeeze(parts["description"]).alias("description"),
+        relative_date(parts["posted"], as_of).alias("publication_date"),
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
-_BUCKETS = 256
+# Rank error of the sketch: one part in this many.
+_ACCURACY = 10_000
 
 
 def long_values(df: DataFrame, cols: Sequence[str], as_type: str = "string") -> DataFrame:
@@ -104,65 +105,54 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(column, p, quantile)`` with linear interpolation, exact at any size.
 
-    Values are counted first. An approximate sketch then cuts each column into
-    ordered buckets; running totals over the few buckets tell which one holds a
-    wanted rank, and only those buckets are sorted.
+    A sketch with a guaranteed rank error brackets each quantile. Values below the
+    bracket are only counted, values above it dropped, and just the values inside
+    are sorted: a few ten-thousandths of the table. A bracket that missed its rank
+    would raise an error instead of giving a wrong number.
     """
-    freq = value_counts(df, cols, as_type="double")
-    grid = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    edges = freq.groupBy("column").agg(
-        F.array_distinct(F.percentile_approx("value", grid, 10_000)).alias("edges")
+    values = long_values(df, cols, "double").where("value is not null")
+    margin = 2.0 / _ACCURACY
+    points = [
+        min(max(p + side * margin, 0.0), 1.0) for p in probabilities for side in (-1, 1)
+    ]
+    sketches = values.groupBy("column").agg(
+        F.percentile_approx("value", points, _ACCURACY).alias("at"), F.count("*").alias("total")
     )
+    brackets = [
+        F.struct(
+            F.lit(float(p)).alias("p"),
+            F.get("at", F.lit(2 * i)).alias("low"),
+            F.get("at", F.lit(2 * i + 1)).alias("high"),
+        )
+        for i, p in enumerate(probabilities)
+    ]
     # One row per profiled column.
-    placed = freq.join(F.broadcast(edges), "column").select(
-        "column",
-        "value",
-        "n",
-        F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("bucket"),
-    )
-    sizes = placed.groupBy("column", "bucket").agg(F.sum("n").alias("size"))
-    running = Window.partitionBy("column").orderBy("bucket")
-    whole = Window.partitionBy("column")
-    spans = sizes.select(
-        "column",
-        "bucket",
-        (F.sum("size").over(running) - F.col("size")).alias("before"),
-        "size",
-        F.sum("size").over(whole).alias("total"),
-    )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    spread = spans.select("*", wanted)
-    exact = F.col("p") * (F.col("total") - 1)
-    spread = spread.select(
-        "*",
-        (exact - F.floor(exact)).alias("share"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.floor(exact).alias("rank")),
-                F.struct(F.lit(1).alias("side"), F.ceil(exact).alias("rank")),
-            )
-        ).alias("target"),
-    ).where(
-        (F.col("target.rank") >= F.col("before"))
-        & (F.col("target.rank") < F.col("before") + F.col("size"))
-    )
-    targets = spread.select(
-        "column", "bucket", "before", "p", "share", "target.side", "target.rank"
-    )
-    # At most two rows per column and probability.
-    needed = placed.join(
-        F.broadcast(targets.select("column", "bucket", "before").distinct()), ["column", "bucket"]
-    )
-    up_to = Window.partitionBy("column", "bucket").orderBy("value")
-    ends = needed.withColumn("end", F.col("before") + F.sum("n").over(up_to)).drop("before")
-    hits = ends.join(F.broadcast(targets), ["column", "bucket"]).where(
-        (F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n"))
-    )
-    low = F.max(F.when(F.col("side") == 0, F.col("value")))
-    high = F.max(F.when(F.col("side") == 1, F.col("value")))
-    return hits.groupBy("column", "p").agg(
-        (low + (high - low) * F.max("share")).alias("quantile")
-    )
+    marked = values.join(F.broadcast(sketches), "column").select(
+        "column", "value", "total", F.inline(F.array(*brackets))
+    )
+    # All values below a bracket fall into one group, so the map side adds them up.
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    counts = (
+        marked.where(F.col("value") <= F.col("high"))
+        .groupBy("column", "p", "total", inside.alias("value"))
+        .agg(F.count("*").alias("n"))
+    )
+    running = Window.partitionBy("column", "p").orderBy(F.asc_nulls_first("value"))
+    ends = counts.withColumn("end", F.sum("n").over(running))
+    rank = F.col("p") * (F.col("total") - 1)
+
+    def value_at(position: Column) -> Column:
+        here = (position < F.col("end")) & (position >= F.col("end") - F.col("n"))
+        return F.max(F.when(here, F.col("value")))
+
+    found = ends.groupBy("column", "p").agg(
+        value_at(F.floor(rank)).alias("low"),
+        value_at(F.ceil(rank)).alias("high"),
+        F.max(rank - F.floor(rank)).alias("share"),
+    )
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
+    missed = F.raise_error(F.lit("the sketch missed a quantile")).cast("double")
+    return found.select("column", "p", F.coalesce(value, missed).alias("quantile"))
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -107,11 +107,11 @@ def _offer_rows(column: pa.Array, width: int) -> np.ndarray:
 def score_by_matrix(
     offers: DataFrame,
     offer_embeds: DataFrame,
-    seekers: DataFrame,
+    profiles: DataFrame,
     seeker_rows: list,
     excluded_companies: Sequence[str] = (),
 ) -> DataFrame:
-    """Matches for a bounded set of seekers.
+    """Matches for a bounded set of seekers, given as collected rows with vectors.
 
     Each offer finds the users whose rules it meets with one broadcast lookup and
     is scored against them as a matrix product, so its vectors cross to Python
@@ -136,7 +136,9 @@ def score_by_matrix(
             skill_rows = _offer_rows(skill, skills.shape[1])
             kept, role_out, skill_out, offsets = [], [], [], [0]
             for i, accepted in enumerate(users.to_pylist()):
-                at = np.array([place[u] for u in accepted], dtype=np.int64)
+                # Seekers without vectors are not among the rows.
+                known = [place[u] for u in accepted if u in place]
+                at = np.array(known, dtype=np.int64)
                 role_sim = roles[at] @ role_rows[i]
                 skill_sim = skills[at] @ skill_rows[i]
                 passes = role_sim * weights[at] + skill_sim * (1 - weights[at]) >= floors[at]
@@ -157,19 +159,24 @@ def score_by_matrix(
             )
             yield pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pairs)
 
-    lookup = criteria(seekers).groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users"))
+    lookup = criteria(profiles).groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users"))
     side = lookup.select("users", *[F.col(k).alias(f"want_{k}") for k in RULE_KEYS])
     narrow = rule_offers(offers, excluded_companies)
     candidates = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_")).select(
         "job_id", "users"
     )
-    pairs = F.arrow_udf(score, _PAIR_DDL)("users", "role_embeds", "avg_skill_embeds")
+    # Nondeterministic to the optimizer, so that no filter on the pairs repeats the scoring.
+    scorer = F.arrow_udf(score, _PAIR_DDL).asNondeterministic()
+    pairs = scorer("users", "role_embeds", "avg_skill_embeds")
     scored = (
         candidates.join(offer_embeds, "job_id")
         .select("job_id", F.inline(pairs))
         .withColumns({"role_sim": F.bround("role", 4), "skill_sim": F.bround("skills", 4)})
     )
-    rules = seekers.select("user_id", "role_weight", "similarity_threshold")
+    rules = offers.sparkSession.createDataFrame(
+        [(r["user_id"], r["role_weight"], r["similarity_threshold"]) for r in seeker_rows],
+        "user_id string, role_weight double, similarity_threshold double",
+    )
     return _passing(scored.join(F.broadcast(rules), "user_id"))
 
 
@@ -183,7 +190,7 @@ def score_matches(
     """``(user_id, job_id, score)`` for all seekers; the route depends on checked sizes."""
     seekers = seekers_with_vectors(profiles, seeker_embeds)
     rows = None
-    if fits(criteria(seekers), BROADCAST_ROWS, BROADCAST_BYTES, ("user_id",)):
+    if fits(criteria(profiles), BROADCAST_ROWS, BROADCAST_BYTES, ("user_id",)):
         rows = rows_if_small(
             seekers.select(
                 "user_id", "role_weight", "similarity_threshold", "avg_role_embeds",
@@ -194,5 +201,5 @@ def score_matches(
     if rows is not None:
         numbers = sum(len(r["avg_role_embeds"]) + len(r["avg_skill_embeds"]) for r in rows)
         if 0 < numbers * 8 <= MATRIX_BYTES:
-            return score_by_matrix(offers, offer_embeds, seekers, rows, excluded_companies)
+            return score_by_matrix(offers, offer_embeds, profiles, rows, excluded_companies)
     return score_by_join(offers, offer_embeds, seekers, excluded_companies)

@@ -23,16 +23,15 @@ BOUNDED_TERMS = 200_000
 ANCHOR = 6
 
 
-def tags_by_scan(text: Column, terms: list[str]) -> Column:
+def tags_by_scan(lowered: Column, terms: list[str]) -> Column:
     """Terms found in the lowercased text, in dictionary order; null text gives null."""
-    lowered = F.lower(text)
     if not terms:
-        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+        return F.when(lowered.isNotNull(), F.array().cast("array<string>"))
     candidates = [F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]
-    return F.when(text.isNotNull(), F.array_compact(F.array(*candidates)))
+    return F.when(lowered.isNotNull(), F.array_compact(F.array(*candidates)))
 
 
-def tags_by_automaton(text: Column, terms: list[str]) -> Column:
+def tags_by_automaton(lowered: Column, terms: list[str]) -> Column:
     """Same result in one pass over each text, whatever the number of terms."""
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -58,7 +57,8 @@ def tags_by_automaton(text: Column, terms: list[str]) -> Column:
                 found.append([terms[i] for i in sorted(hits)])
             yield pa.array(found, type=pa.list_(pa.string()))
 
-    return F.arrow_udf(find, "array<string>")(F.lower(text))
+    # Nondeterministic to the optimizer: a filter on the tags must not repeat the search.
+    return F.arrow_udf(find, "array<string>").asNondeterministic()(lowered)
 
 
 def tags_by_join(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -115,6 +115,8 @@ def with_tags(
         return df.join(tagged.withColumnRenamed("tags", out_col), id_col, "left")
     ordered = [r["skill"] for r in sorted(rows, key=lambda r: (r["pos"], r["skill"]))]
     text = F.col(text_col) if when is None else F.when(when, F.col(text_col))
-    if ahocorasick is None or len(ordered) <= SCAN_TERMS:
-        return df.withColumn(out_col, tags_by_scan(text, ordered))
-    return df.withColumn(out_col, tags_by_automaton(text, ordered))
+    by_scan = ahocorasick is None or len(ordered) <= SCAN_TERMS
+    find = tags_by_scan if by_scan else tags_by_automaton
+    # A column of its own, so that a text is lowercased once and not once per term.
+    lowered = df.withColumn("__lowered", F.lower(text))
+    return lowered.withColumn(out_col, find(F.col("__lowered"), ordered)).drop("__lowered")

@@ -11,6 +11,7 @@ from offerloom.functions.dates import as_of_column, day_text
 from offerloom.functions.urls import SEARCH_DEFAULTS, canonical_url, search_url
 from offerloom.operators.html import detail_rows, listing_links
 from offerloom.schemas import RAW_OFFERS
+from offerloom.session import cut_lineage
 
 
 def frontier(
@@ -48,7 +49,8 @@ def crawl(
     max_jobs: int | None = None,
 ) -> DataFrame:
     """Raw offers of all searches whose pages were captured; failed pages give no row."""
-    links = found_links(pages, searches, max_jobs)
+    # Used twice below: kept as a narrow table, so listing pages are parsed once.
+    links = cut_lineage(found_links(pages, searches, max_jobs))
     good = pages.where(F.coalesce(F.col("status_code") < 400, F.lit(False)))
     newest = F.max_by("body", "fetched_at")
     wanted = (

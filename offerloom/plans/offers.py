@@ -24,13 +24,19 @@ from offerloom.schemas import OFFERS, RAW_OFFERS
 
 _TIE = "__tie"
 _SCANNED = "scraping_date"
-_MERGE_ORDER = [F.col(SOURCE_RANK), F.desc_nulls_last(_SCANNED), F.col(_TIE)]
-_CLEAN_ORDER = [
-    F.desc("publication_date"),
-    F.col(SOURCE_RANK),
-    F.desc_nulls_last(_SCANNED),
-    F.col("job_id"),
-]
+
+
+def _merge_order() -> list[Column]:
+    return [F.col(SOURCE_RANK), F.desc_nulls_last(_SCANNED), F.col(_TIE)]
+
+
+def _clean_order() -> list[Column]:
+    return [
+        F.desc("publication_date"),
+        F.col(SOURCE_RANK),
+        F.desc_nulls_last(_SCANNED),
+        F.col("job_id"),
+    ]
 
 
 def unusable_reason(strict_dates: bool = False) -> Column:
@@ -95,7 +101,7 @@ def augment(
     """
     fresh = with_tags(_aligned_raw(raw, key_on, strict_dates), "job_id", "description", skills)
     merged = union_new_first(fresh, _aligned_existing(existing))
-    unique = keep_first(merged, ["job_id"], _MERGE_ORDER)
+    unique = keep_first(merged, ["job_id"], _merge_order())
     return unique.where("remote is not null and skills is not null").drop(_TIE)
 
 
@@ -122,7 +128,7 @@ def _clean(kept: DataFrame) -> DataFrame:
         }
     )
     unique = keep_first_in_sequence(
-        dated, [["link"], ["description"]], _CLEAN_ORDER, long_keys=True
+        dated, [["link"], ["description"]], _clean_order(), long_keys=True
     )
     return unique.select(*OFFERS.fieldNames())
 
@@ -168,7 +174,7 @@ def build_offers(
         when=F.col("stays"),
     )
     merged = union_new_first(fresh, masked(_aligned_existing(existing)))
-    unique = keep_first(merged, ["job_id"], _MERGE_ORDER)
+    unique = keep_first(merged, ["job_id"], _merge_order())
     return _clean(unique.where("stays and remote is not null and skills is not null"))
 
 

@@ -3,8 +3,23 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+}
+
+
 def _fields(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from ``name TYPE`` pairs; unlike a DDL text it needs no session."""
+    pairs = (column.split() for column in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 _RAW = (

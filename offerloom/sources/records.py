@@ -20,6 +20,17 @@ def is_missing_path(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores.
+
+    A file with a single row group is one task however many cores are free. Large
+    inputs have more splits than cores and pass through unchanged. ``df`` must be a
+    plain scan, so that counting its partitions runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_records(
     spark: SparkSession,
     path: str,
