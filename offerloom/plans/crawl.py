@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.dates import as_of_column, day_text
 from offerloom.functions.urls import SEARCH_DEFAULTS, canonical_url, search_url
+from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.html import detail_rows, listing_links
 from offerloom.schemas import RAW_OFFERS
-from offerloom.session import cut_lineage
 
 
 def frontier(
@@ -48,20 +48,17 @@ def crawl(
     as_of: datetime | str,
     max_jobs: int | None = None,
 ) -> DataFrame:
-    """Raw offers of all searches whose pages were captured; failed pages give no row."""
-    # Used twice below: kept as a narrow table, so listing pages are parsed once.
-    links = cut_lineage(found_links(pages, searches, max_jobs))
+    """Raw offers of all searches whose pages were captured; failed pages give no row.
+
+    Detail pages are parsed where they are scanned, so extracted fields are
+    shuffled and not markup. The newest readable capture of a link counts.
+    """
+    links = found_links(pages, searches, max_jobs)
     good = pages.where(F.coalesce(F.col("status_code") < 400, F.lit(False)))
-    newest = F.max_by("body", "fetched_at")
-    wanted = (
-        good.withColumn("link", canonical_url(F.col("url")))
-        .join(links.select("link").distinct(), "link", "left_semi")
-        .groupBy("link")
-        .agg(newest.alias("body"))
-        .select(F.col("link").alias("url"), "body")
-    )
-    details = detail_rows(wanted, as_of).withColumnRenamed("url", "link")
-    rows = details.join(links, "link").withColumns(
+    parsed = detail_rows(good, as_of, keep=("fetched_at",))
+    details = parsed.withColumn("link", canonical_url(F.col("url"))).drop("url")
+    newest = [F.desc_nulls_last("fetched_at"), row_hash(details)]
+    rows = keep_first(details, ["link"], newest).join(links, "link").withColumns(
         {
             "query_keyword": F.col("role"),
             "country": F.lit(SEARCH_DEFAULTS["location"]),

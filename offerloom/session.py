@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages and descriptions vary from bytes to megabytes: bound a batch by size too.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Call sites recorded for every column make large expressions slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
 }
