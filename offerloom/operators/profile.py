@@ -15,9 +15,13 @@ _ACCURACY = 10_000
 
 def long_values(df: DataFrame, cols: Sequence[str], as_type: str = "string") -> DataFrame:
     """``(column, value)`` for several columns in one pass over the table."""
-    pairs = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value")) for c in cols
-    ]
+
+    def value(c: str) -> Column:
+        cast = F.col(c).cast(as_type)
+        # As in a data frame of numbers, NaN is a missing value.
+        return F.when(~F.isnan(cast), cast) if as_type == "double" else cast
+
+    pairs = [F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in cols]
     return df.select(F.inline(F.array(*pairs)))
 
 
@@ -118,11 +122,13 @@ def exact_quantiles(
     sketches = values.groupBy("column").agg(
         F.percentile_approx("value", points, _ACCURACY).alias("at"), F.count("*").alias("total")
     )
+    # In a short column the margin is less than one rank: all its values count as inside.
+    short = F.col("total") < 2 * _ACCURACY
     brackets = [
         F.struct(
             F.lit(float(p)).alias("p"),
-            F.get("at", F.lit(2 * i)).alias("low"),
-            F.get("at", F.lit(2 * i + 1)).alias("high"),
+            F.when(short, F.lit(float("-inf"))).otherwise(F.get("at", F.lit(2 * i))).alias("low"),
+            F.when(short, F.lit(float("inf"))).otherwise(F.get("at", F.lit(2 * i + 1))).alias("high"),
         )
         for i, p in enumerate(probabilities)
     ]
