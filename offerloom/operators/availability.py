@@ -45,14 +45,18 @@ def latest_verdicts(pages: DataFrame, tags: Sequence[str]) -> DataFrame:
 
 def check_offers(offers: DataFrame, pages: DataFrame, tags: Sequence[str]) -> DataFrame:
     """``(job_id, available)`` for every offer not known to be unavailable."""
-    due = offers.where(not_known_unavailable(F.col("available"))).select("job_id", "link")
-    verdicts = latest_verdicts(pages, tags)
     unusable = (F.coalesce("job_id", F.lit("")) == "") | (F.coalesce("link", F.lit("")) == "")
+    # Rows without a link have nothing to look up: a key made from their id spreads them
+    # over the tasks, the same way on every attempt.
+    spread = F.concat(F.lit("\0"), F.xxhash64("job_id").cast("string"))
+    key = F.when(unusable, spread).otherwise(F.col("link"))
+    due = offers.where(not_known_unavailable(F.col("available"))).select(
+        "job_id", unusable.alias("unusable"), key.alias("link")
+    )
+    verdicts = latest_verdicts(pages, tags)
     return due.join(verdicts, "link", "left").select(
         "job_id",
-        F.when(unusable, F.lit(False))
-        .otherwise(~F.coalesce("gone", F.lit(False)))
-        .alias("available"),
+        (~F.col("unusable") & ~F.coalesce("gone", F.lit(False))).alias("available"),
     )
 
 

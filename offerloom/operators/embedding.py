@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.vectors import mean_vector
-
 # A model takes texts and gives an [n, d] array. The factory runs once per task,
 # so weights are loaded on the executor and never shipped with the plan.
 Model = Callable[[Sequence[str]], np.ndarray]
@@ -72,18 +70,3 @@ def embed_phrases(
             yield pa.RecordBatch.from_arrays([texts, lists], names=["phrase", "vector"])
 
     return distinct.mapInArrow(run, PHRASE_VECTORS)
-
-
-def mean_of_phrases(
-    df: DataFrame, key: str, phrases_col: str, vectors: DataFrame, out_col: str
-) -> DataFrame:
-    """Mean vector of each row's phrase list; a row without phrases gives none.
-
-    A phrase listed twice counts twice. Hot phrases are spread by the adaptive
-    skew join. The list gathered per key is the row's own phrase list.
-    """
-    listed = df.select(key, F.explode(phrases_col).alias("phrase"))
-    gathered = (
-        listed.join(vectors, "phrase").groupBy(key).agg(F.collect_list("vector").alias("vectors"))
-    )
-    return gathered.select(key, mean_vector(F.col("vectors")).cast("array<float>").alias(out_col))

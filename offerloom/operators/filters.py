@@ -50,13 +50,13 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def ids_missing_from(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Rows whose key ``other`` lacks."""
-    return df.join(other.select(key), key, "left_anti")
+    """Rows whose key ``other`` lacks; repeated keys there are merged before the shuffle."""
+    return df.join(other.select(key).distinct(), key, "left_anti")
 
 
 def ids_present_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Rows whose key ``other`` has."""
-    return df.join(other.select(key), key, "left_semi")
+    """Rows whose key ``other`` has; repeated keys there are merged before the shuffle."""
+    return df.join(other.select(key).distinct(), key, "left_semi")
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from offerloom.functions.text import parse_bool, parse_number
 from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.filters import not_listed
-from offerloom.operators.sizing import fits
 from offerloom.operators.skew import salted_join
 
 RULE_KEYS = ("seniority", "location", "work_modality_english", "remote", "in_english")
-# A criteria table up to this size is sent to every task.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 256 << 20
+# A criteria table up to this many narrow rows is sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 
 def parse_seekers(seekers: DataFrame) -> DataFrame:
@@ -57,6 +55,14 @@ def criteria(profiles: DataFrame) -> DataFrame:
     return rows
 
 
+def criteria_rows() -> Column:
+    """Number of criteria rows of one profile, without exploding it."""
+    count = F.when(F.col("english"), F.lit(2)).otherwise(F.lit(1)).cast("bigint")
+    for name in ("seniority", "location", "work_modality_english", "remote"):
+        count = count * F.size(F.array_distinct(name))
+    return count
+
+
 def rule_offers(offers: DataFrame, excluded_companies: Sequence[str]) -> DataFrame:
     """Narrow offer rows that may match: ``job_id`` and the rule keys."""
     return offers.where(not_listed(F.col("company"), excluded_companies)).select(
@@ -83,7 +89,8 @@ def match_rules(
     """
     narrow = rule_offers(offers, excluded_companies)
     wanted = criteria(profiles)
-    if fits(wanted, BROADCAST_ROWS, BROADCAST_BYTES, ("user_id", "seniority", "location")):
+    total = profiles.agg(F.coalesce(F.sum(criteria_rows()), F.lit(0))).first()[0]
+    if total <= BROADCAST_ROWS:
         side = wanted.select("user_id", *[F.col(k).alias(f"want_{k}") for k in RULE_KEYS])
         joined = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_"))
     else:

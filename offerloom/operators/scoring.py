@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.vectors import cosine_4dp, weighted_score
 from offerloom.operators.rules import (
-    BROADCAST_BYTES,
     BROADCAST_ROWS,
     RULE_KEYS,
     criteria,
+    criteria_rows,
     rule_condition,
     rule_offers,
 )
-from offerloom.operators.sizing import fits, rows_if_small
 from offerloom.operators.skew import salted_join
 
 # Seekers up to these bounds travel to the tasks as matrices.
@@ -136,9 +135,7 @@ def score_by_matrix(
             skill_rows = _offer_rows(skill, skills.shape[1])
             kept, role_out, skill_out, offsets = [], [], [], [0]
             for i, accepted in enumerate(users.to_pylist()):
-                # Seekers without vectors are not among the rows.
-                known = [place[u] for u in accepted if u in place]
-                at = np.array(known, dtype=np.int64)
+                at = np.array([place[u] for u in accepted], dtype=np.int64)
                 role_sim = roles[at] @ role_rows[i]
                 skill_sim = skills[at] @ skill_rows[i]
                 passes = role_sim * weights[at] + skill_sim * (1 - weights[at]) >= floors[at]
@@ -159,7 +156,12 @@ def score_by_matrix(
             )
             yield pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pairs)
 
-    lookup = criteria(profiles).groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users"))
+    rules = offers.sparkSession.createDataFrame(
+        [(r["user_id"], r["role_weight"], r["similarity_threshold"]) for r in seeker_rows],
+        "user_id string, role_weight double, similarity_threshold double",
+    )
+    chosen = profiles.join(F.broadcast(rules.select("user_id")), "user_id", "left_semi")
+    lookup = criteria(chosen).groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users"))
     side = lookup.select("users", *[F.col(k).alias(f"want_{k}") for k in RULE_KEYS])
     narrow = rule_offers(offers, excluded_companies)
     candidates = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_")).select(
@@ -173,10 +175,6 @@ def score_by_matrix(
         .select("job_id", F.inline(pairs))
         .withColumns({"role_sim": F.bround("role", 4), "skill_sim": F.bround("skills", 4)})
     )
-    rules = offers.sparkSession.createDataFrame(
-        [(r["user_id"], r["role_weight"], r["similarity_threshold"]) for r in seeker_rows],
-        "user_id string, role_weight double, similarity_threshold double",
-    )
     return _passing(scored.join(F.broadcast(rules), "user_id"))
 
 
@@ -189,17 +187,17 @@ def score_matches(
 ) -> DataFrame:
     """``(user_id, job_id, score)`` for all seekers; the route depends on checked sizes."""
     seekers = seekers_with_vectors(profiles, seeker_embeds)
-    rows = None
-    if fits(criteria(profiles), BROADCAST_ROWS, BROADCAST_BYTES, ("user_id",)):
-        rows = rows_if_small(
-            seekers.select(
-                "user_id", "role_weight", "similarity_threshold", "avg_role_embeds",
-                "avg_skill_embeds",
-            ),
-            MATRIX_SEEKERS,
-        )
-    if rows is not None:
-        numbers = sum(len(r["avg_role_embeds"]) + len(r["avg_skill_embeds"]) for r in rows)
-        if 0 < numbers * 8 <= MATRIX_BYTES:
-            return score_by_matrix(offers, offer_embeds, profiles, rows, excluded_companies)
+    numbers = F.size("avg_role_embeds") + F.size("avg_skill_embeds")
+    n, n_bytes, n_criteria = seekers.agg(
+        F.count("*"),
+        F.coalesce(F.sum(numbers.cast("bigint") * 8), F.lit(0)),
+        F.coalesce(F.sum(criteria_rows()), F.lit(0)),
+    ).first()
+    if 0 < n <= MATRIX_SEEKERS and n_bytes <= MATRIX_BYTES and n_criteria <= BROADCAST_ROWS:
+        # Bounded by the counts just taken.
+        rows = seekers.select(
+            "user_id", "role_weight", "similarity_threshold", "avg_role_embeds",
+            "avg_skill_embeds",
+        ).collect()
+        return score_by_matrix(offers, offer_embeds, profiles, rows, excluded_companies)
     return score_by_join(offers, offer_embeds, seekers, excluded_companies)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.operators.sizing import rows_if_small
+from offerloom.operators.skew import salted_join
 
 try:
     import ahocorasick
@@ -79,12 +80,9 @@ def tags_by_join(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
         return F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))
 
     grams = F.array_distinct(F.flatten(F.array(*[windows(n) for n in range(0, ANCHOR + 1)])))
-    candidates = (
-        lowered.select(id_col, F.explode(grams).alias("anchor"))
-        .join(anchored, "anchor")
-        .select(id_col, "pos", "skill")
-        .distinct()
-    )
+    offered = lowered.select(id_col, F.explode(grams).alias("anchor"))
+    # A common anchor occurs in a large share of the texts, hence the salted join.
+    candidates = salted_join(offered, anchored, ["anchor"], id_col).select(id_col, "pos", "skill")
     found = candidates.join(lowered, id_col).where(F.contains("text", "skill"))
     # The tags of a text fit in one row by definition of the result.
     tagged = found.groupBy(id_col).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.report import HEADER_LINES, report_row
-from offerloom.operators.ranking import bucketed_row_number
+from offerloom.operators.ranking import row_number_in_groups
 
 READING_ORDER = ["section", "newest", "best", "job_id"]
 
@@ -28,19 +28,9 @@ def newest_then_best(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
-    """Position of each match in its seeker's list, whatever the list's length.
-
-    A list is cut by day and by whole percent of score, and only those pieces are
-    sorted.
-    """
-    day = F.coalesce(F.datediff("publication_date", F.lit("1970-01-01").cast("date")), F.lit(-(10**6)))
-    return bucketed_row_number(
-        rows,
-        "user_id",
-        {"__day": -day, "__pct": -F.floor(F.col("score") * 100).cast("bigint")},
-        [F.desc("score"), F.col("job_id")],
-        name,
-    )
+    """Position of each match in its seeker's list, whatever the list's length."""
+    order = [F.desc_nulls_last("publication_date"), F.desc("score"), F.col("job_id")]
+    return row_number_in_groups(rows, "user_id", order, name)
 
 
 def report_lines(rows: DataFrame, users: DataFrame) -> DataFrame:
