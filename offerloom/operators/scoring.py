@@ -23,8 +23,22 @@ from offerloom.operators.skew import salted_join
 # Seekers up to these bounds travel to the tasks as matrices.
 MATRIX_SEEKERS = 20_000
 MATRIX_BYTES = 128 << 20
-_PAIR = pa.struct([("user_id", pa.string()), ("role", pa.float64()), ("skills", pa.float64())])
-_PAIR_DDL = "array<struct<user_id:string,role:double,skills:double>>"
+# Scores computed at a time, per task: bounds memory for any number of seekers.
+MATRIX_CELLS = 2_000_000
+_PAIRS = pa.schema(
+    [
+        ("job_id", pa.string()),
+        ("user_id", pa.string()),
+        ("role", pa.float64()),
+        ("skills", pa.float64()),
+        ("role_weight", pa.float64()),
+        ("similarity_threshold", pa.float64()),
+    ]
+)
+_PAIRS_DDL = (
+    "job_id string, user_id string, role double, skills double, role_weight double, "
+    "similarity_threshold double"
+)
 
 
 def seekers_with_vectors(profiles: DataFrame, seeker_embeds: DataFrame) -> DataFrame:
@@ -112,70 +126,73 @@ def score_by_matrix(
 ) -> DataFrame:
     """Matches for a bounded set of seekers, given as collected rows with vectors.
 
-    Each offer finds the users whose rules it meets with one broadcast lookup and
-    is scored against them as a matrix product, so its vectors cross to Python
-    once per offer, not once per pair.
+    Seekers are grouped by the rule keys they accept. An offer finds its group with
+    one broadcast lookup and is scored against the group's seekers as a matrix
+    product, so its vectors cross to Python once per offer, not once per pair, and
+    only pairs that may pass come back.
     """
+    spark = offers.sparkSession
     ids = [r["user_id"] for r in seeker_rows]
     place = {user: i for i, user in enumerate(ids)}
     id_column = pa.array(ids, type=pa.string())
     roles = _matrix(seeker_rows, "avg_role_embeds")
     skills = _matrix(seeker_rows, "avg_skill_embeds")
     weights = np.array([r["role_weight"] for r in seeker_rows])
+    thresholds = np.array([r["similarity_threshold"] for r in seeker_rows])
     # Rounding to four places moves a similarity by at most 5e-5: keep that much slack
     # here and let the exact test follow on the rounded values.
-    slack = 1e-4 * (np.abs(weights) + np.abs(1 - weights)) + 1e-9
-    floors = np.array([r["similarity_threshold"] for r in seeker_rows]) - slack
-
-    def score(
-        batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
-    ) -> Iterator[pa.Array]:
-        for users, role, skill in batches:
-            role_rows = _offer_rows(role, roles.shape[1])
-            skill_rows = _offer_rows(skill, skills.shape[1])
-            kept, role_out, skill_out, offsets = [], [], [], [0]
-            for i, accepted in enumerate(users.to_pylist()):
-                at = np.array([place[u] for u in accepted], dtype=np.int64)
-                role_sim = roles[at] @ role_rows[i]
-                skill_sim = skills[at] @ skill_rows[i]
-                passes = role_sim * weights[at] + skill_sim * (1 - weights[at]) >= floors[at]
-                kept.append(at[passes])
-                role_out.append(role_sim[passes])
-                skill_out.append(skill_sim[passes])
-                offsets.append(offsets[-1] + int(passes.sum()))
-            if not kept:
-                yield pa.array([], type=pa.list_(_PAIR))
-                continue
-            pairs = pa.StructArray.from_arrays(
-                [
-                    id_column.take(pa.array(np.concatenate(kept))),
-                    pa.array(np.concatenate(role_out)),
-                    pa.array(np.concatenate(skill_out)),
-                ],
-                fields=list(_PAIR),
-            )
-            yield pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pairs)
-
-    rules = offers.sparkSession.createDataFrame(
-        [(r["user_id"], r["role_weight"], r["similarity_threshold"]) for r in seeker_rows],
-        "user_id string, role_weight double, similarity_threshold double",
+    floors = thresholds - 1e-4 * (np.abs(weights) + np.abs(1 - weights)) - 1e-9
+
+    known = F.broadcast(spark.createDataFrame([(u,) for u in ids], "user_id string"))
+    wanted = criteria(profiles.join(known, "user_id", "left_semi"))
+    accepted = wanted.groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users")).collect()
+    groups = [np.array(sorted(place[u] for u in row["users"])) for row in accepted]
+    side = spark.createDataFrame(
+        [(*(row[k] for k in RULE_KEYS), i) for i, row in enumerate(accepted)],
+        ", ".join(f"want_{k} {wanted.schema[k].dataType.simpleString()}" for k in RULE_KEYS)
+        + ", group_id int",
     )
-    chosen = profiles.join(F.broadcast(rules.select("user_id")), "user_id", "left_semi")
-    lookup = criteria(chosen).groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users"))
-    side = lookup.select("users", *[F.col(k).alias(f"want_{k}") for k in RULE_KEYS])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            jobs, group_ids = batch.column("job_id"), batch.column("group_id").to_numpy()
+            role_rows = _offer_rows(batch.column("role_embeds"), roles.shape[1])
+            skill_rows = _offer_rows(batch.column("avg_skill_embeds"), skills.shape[1])
+            for group in np.unique(group_ids):
+                at, members = groups[group], np.flatnonzero(group_ids == group)
+                step = max(1, MATRIX_CELLS // len(at))
+                for start in range(0, len(members), step):
+                    part = members[start : start + step]
+                    role_sim = role_rows[part] @ roles[at].T
+                    skill_sim = skill_rows[part] @ skills[at].T
+                    mixed = role_sim * weights[at] + skill_sim * (1 - weights[at])
+                    row, col = np.nonzero(mixed >= floors[at])
+                    if row.size == 0:
+                        continue
+                    users = at[col]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            jobs.take(pa.array(part[row])),
+                            id_column.take(pa.array(users)),
+                            pa.array(role_sim[row, col]),
+                            pa.array(skill_sim[row, col]),
+                            pa.array(weights[users]),
+                            pa.array(thresholds[users]),
+                        ],
+                        schema=_PAIRS,
+                    )
+
     narrow = rule_offers(offers, excluded_companies)
     candidates = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_")).select(
-        "job_id", "users"
+        "job_id", "group_id"
     )
-    # Nondeterministic to the optimizer, so that no filter on the pairs repeats the scoring.
-    scorer = F.arrow_udf(score, _PAIR_DDL).asNondeterministic()
-    pairs = scorer("users", "role_embeds", "avg_skill_embeds")
     scored = (
         candidates.join(offer_embeds, "job_id")
-        .select("job_id", F.inline(pairs))
+        .select("job_id", "group_id", "role_embeds", "avg_skill_embeds")
+        .mapInArrow(score, _PAIRS_DDL)
         .withColumns({"role_sim": F.bround("role", 4), "skill_sim": F.bround("skills", 4)})
     )
-    return _passing(scored.join(F.broadcast(rules), "user_id"))
+    return _passing(scored)
 
 
 def score_matches(
