@@ -1,4 +1,10 @@
-"""Weighted cosine scores of rule-matched pairs."""
+"""Weighted cosine scores of rule-matched pairs.
+
+Offers and seekers that share rule keys are packed into blocks of up to ``BLOCK``
+rows, and the rule join runs between blocks. A joined row is scored as one matrix
+product, so a vector crosses to Python once per block of partners and not once per
+pair, and pairs below the threshold never become rows.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.vectors import cosine_4dp, weighted_score
+from offerloom.functions.vectors import weighted_score
 from offerloom.operators.rules import (
-    BROADCAST_ROWS,
     RULE_KEYS,
     criteria,
     criteria_rows,
@@ -20,11 +25,11 @@ from offerloom.operators.rules import (
 )
 from offerloom.operators.skew import salted_join
 
-# Seekers up to these bounds travel to the tasks as matrices.
-MATRIX_SEEKERS = 20_000
-MATRIX_BYTES = 128 << 20
-# Scores computed at a time, per task: bounds memory for any number of seekers.
-MATRIX_CELLS = 2_000_000
+BLOCK = 256
+# Seekers whose criteria rows, vectors included, stay below this are broadcast.
+BROADCAST_BYTES = 256 << 20
+# A rule key with more offers than this is cut into salts.
+OFFERS_PER_SALT = BLOCK * 256
 _PAIRS = pa.schema(
     [
         ("job_id", pa.string()),
@@ -47,174 +52,178 @@ def seekers_with_vectors(profiles: DataFrame, seeker_embeds: DataFrame) -> DataF
     )
 
 
-def _passing(scored: DataFrame) -> DataFrame:
-    """Scores at or above the seeker's threshold; an undefined score never passes."""
-    score = weighted_score(F.col("role_sim"), F.col("skill_sim"), F.col("role_weight"))
-    return (
-        scored.withColumn("score", score)
-        .where(F.col("score") >= F.col("similarity_threshold"))
-        .select("user_id", "job_id", "score")
-    )
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; all vectors must be non-empty and of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (len(widths) and (widths.min() != widths.max() or not widths.max())):
+        raise ValueError("vectors must be non-empty and of equal length")
+    return flat.reshape(len(column), -1)
 
 
-def score_by_join(
+def _packed(df: DataFrame, vectors: Sequence[str], scalars: Sequence[str]) -> DataFrame:
+    """Rows with equal rule keys, packed into blocks within each Arrow batch.
+
+    Vectors of a block are laid end to end in one array. Packing needs no shuffle:
+    a common key fills its blocks, a rare one gives small blocks.
+    """
+    columns = [*scalars, *vectors]
+    lists = [
+        f"{c} {t if t.startswith('array') else f'array<{t}>'}"
+        for c, t in ((c, df.schema[c].dataType.simpleString()) for c in columns)
+    ]
+    keys = [f"{k} {df.schema[k].dataType.simpleString()}" for k in RULE_KEYS]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key_columns = [batch.column(k) for k in RULE_KEYS]
+            members: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[c.to_pylist() for c in key_columns])):
+                members.setdefault(key, []).append(at)
+            pieces = [
+                np.array(rows[i : i + BLOCK])
+                for rows in members.values()
+                for i in range(0, len(rows), BLOCK)
+            ]
+            order = np.concatenate(pieces)
+            starts = np.cumsum([0, *map(len, pieces)])
+            firsts = pa.array(np.array([p[0] for p in pieces]))
+            arrays = [c.take(firsts) for c in key_columns]
+            for name in scalars:
+                values = batch.column(name).take(pa.array(order))
+                arrays.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values))
+            for name in vectors:
+                rows = _matrix(batch.column(name))
+                ends = pa.array(starts * rows.shape[1], pa.int32())
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(rows[order].ravel())))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*RULE_KEYS, *columns])
+
+    return df.select(*RULE_KEYS, *columns).mapInArrow(pack, ", ".join([*keys, *lists]))
+
+
+def _directions(flat: pa.ListArray, row: int, count: int) -> np.ndarray:
+    """Unit vectors of one block; a zero vector has no direction and gives NaN."""
+    vectors = flat.slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+    vectors = vectors.astype(np.float64).reshape(count, -1)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.full_like(vectors, np.nan), where=norms > 0)
+
+
+def _similar(offer: np.ndarray, seeker: np.ndarray) -> np.ndarray:
+    if offer.shape[1] != seeker.shape[1]:
+        raise ValueError("vectors must be non-empty and of equal length")
+    return offer @ seeker.T
+
+
+def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+
+            def values(name: str) -> pa.Array:
+                return batch.column(name).slice(row, 1).flatten()
+
+            jobs, users = values("job_id"), values("user_id")
+            weights = values("role_weight").to_numpy()
+            thresholds = values("similarity_threshold").to_numpy()
+
+            def block(name: str, count: int) -> np.ndarray:
+                return _directions(batch.column(name), row, count)
+
+            role = _similar(
+                block("offer_role", len(jobs)), block("seeker_role", len(users))
+            )
+            skills = _similar(
+                block("offer_skills", len(jobs)), block("seeker_skills", len(users))
+            )
+            # Rounding to four places moves a similarity by at most 5e-5: keep that
+            # much slack here and let the exact test follow on the rounded values.
+            slack = 1e-4 * (np.abs(weights) + np.abs(1 - weights)) + 1e-9
+            mixed = role * weights + skills * (1 - weights)
+            i, j = np.nonzero(mixed >= thresholds - slack)
+            if i.size:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        jobs.take(pa.array(i)),
+                        users.take(pa.array(j)),
+                        pa.array(role[i, j]),
+                        pa.array(skills[i, j]),
+                        pa.array(weights[j]),
+                        pa.array(thresholds[j]),
+                    ],
+                    schema=_PAIRS,
+                )
+
+
+def score_matches(
     offers: DataFrame,
     offer_embeds: DataFrame,
-    seekers: DataFrame,
+    profiles: DataFrame,
+    seeker_embeds: DataFrame,
     excluded_companies: Sequence[str] = (),
-    rows_per_salt: int = 1_000_000,
+    broadcast_bytes: int | None = None,
+    offers_per_salt: int | None = None,
 ) -> DataFrame:
-    """Matches for any number of seekers, with built-in expressions only.
+    """``(user_id, job_id, score)`` at or above each seeker's threshold.
 
-    Both sides carry their vectors into one salted equi-join on the rule keys, and
-    the threshold is applied in the join's own stage, so no pair is shuffled.
+    Seekers of a checked size are broadcast and offers stream past them. Otherwise
+    blocks meet in a salted shuffle join on the rule keys. An undefined score never
+    passes.
     """
-    left = rule_offers(offers, excluded_companies).join(
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    seekers = seekers_with_vectors(profiles, seeker_embeds)
+    width = F.size("avg_role_embeds") + F.size("avg_skill_embeds")
+    seeker_bytes = seekers.agg(
+        F.coalesce(F.sum(criteria_rows() * width * 8), F.lit(0))
+    ).first()[0]
+
+    narrow = rule_offers(offers, excluded_companies)
+    offer_rows = narrow.join(
         offer_embeds.select(
             "job_id",
-            F.col("avg_skill_embeds").alias("offer_skills"),
             F.col("role_embeds").alias("offer_role"),
+            F.col("avg_skill_embeds").alias("offer_skills"),
         ),
         "job_id",
     )
-    right = criteria(seekers).join(
+    seeker_rows = criteria(seekers).join(
         seekers.select(
-            "user_id", "role_weight", "similarity_threshold",
-            F.col("avg_skill_embeds").alias("seeker_skills"),
+            "user_id",
+            "role_weight",
+            "similarity_threshold",
             F.col("avg_role_embeds").alias("seeker_role"),
+            F.col("avg_skill_embeds").alias("seeker_skills"),
         ),
         "user_id",
     )
-    pairs = salted_join(left, right, RULE_KEYS, "job_id", rows_per_salt)
-    return _passing(
-        pairs.withColumns(
-            {
-                "role_sim": cosine_4dp(F.col("offer_role"), F.col("seeker_role")),
-                "skill_sim": cosine_4dp(F.col("offer_skills"), F.col("seeker_skills")),
-            }
-        )
-    )
-
-
-def _matrix(rows: list, name: str) -> np.ndarray:
-    lengths = {len(r[name]) for r in rows}
-    if len(lengths) != 1 or 0 in lengths:
-        raise ValueError(f"{name}: vectors must be non-empty and of equal length")
-    matrix = np.array([r[name] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    # A zero vector has no direction: its similarities stay undefined.
-    return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
-
-
-def _offer_rows(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if column.null_count or flat.size != len(column) * width:
-        raise ValueError("vectors must be non-empty and of equal length")
-    if len(column) and np.any(np.diff(column.offsets.to_numpy()) != width):
-        raise ValueError("vectors must be non-empty and of equal length")
-    rows = flat.reshape(len(column), width)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.full_like(rows, np.nan), where=norms > 0)
-
-
-def score_by_matrix(
-    offers: DataFrame,
-    offer_embeds: DataFrame,
-    profiles: DataFrame,
-    seeker_rows: list,
-    excluded_companies: Sequence[str] = (),
-) -> DataFrame:
-    """Matches for a bounded set of seekers, given as collected rows with vectors.
-
-    Seekers are grouped by the rule keys they accept. An offer finds its group with
-    one broadcast lookup and is scored against the group's seekers as a matrix
-    product, so its vectors cross to Python once per offer, not once per pair, and
-    only pairs that may pass come back.
-    """
-    spark = offers.sparkSession
-    ids = [r["user_id"] for r in seeker_rows]
-    place = {user: i for i, user in enumerate(ids)}
-    id_column = pa.array(ids, type=pa.string())
-    roles = _matrix(seeker_rows, "avg_role_embeds")
-    skills = _matrix(seeker_rows, "avg_skill_embeds")
-    weights = np.array([r["role_weight"] for r in seeker_rows])
-    thresholds = np.array([r["similarity_threshold"] for r in seeker_rows])
-    # Rounding to four places moves a similarity by at most 5e-5: keep that much slack
-    # here and let the exact test follow on the rounded values.
-    floors = thresholds - 1e-4 * (np.abs(weights) + np.abs(1 - weights)) - 1e-9
-
-    known = F.broadcast(spark.createDataFrame([(u,) for u in ids], "user_id string"))
-    wanted = criteria(profiles.join(known, "user_id", "left_semi"))
-    accepted = wanted.groupBy(*RULE_KEYS).agg(F.collect_set("user_id").alias("users")).collect()
-    groups = [np.array(sorted(place[u] for u in row["users"])) for row in accepted]
-    side = spark.createDataFrame(
-        [(*(row[k] for k in RULE_KEYS), i) for i, row in enumerate(accepted)],
-        ", ".join(f"want_{k} {wanted.schema[k].dataType.simpleString()}" for k in RULE_KEYS)
-        + ", group_id int",
+    left = _packed(offer_rows, ["offer_role", "offer_skills"], ["job_id"])
+    right = _packed(
+        seeker_rows,
+        ["seeker_role", "seeker_skills"],
+        ["user_id", "role_weight", "similarity_threshold"],
     )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            jobs, group_ids = batch.column("job_id"), batch.column("group_id").to_numpy()
-            role_rows = _offer_rows(batch.column("role_embeds"), roles.shape[1])
-            skill_rows = _offer_rows(batch.column("avg_skill_embeds"), skills.shape[1])
-            for group in np.unique(group_ids):
-                at, members = groups[group], np.flatnonzero(group_ids == group)
-                step = max(1, MATRIX_CELLS // len(at))
-                for start in range(0, len(members), step):
-                    part = members[start : start + step]
-                    role_sim = role_rows[part] @ roles[at].T
-                    skill_sim = skill_rows[part] @ skills[at].T
-                    mixed = role_sim * weights[at] + skill_sim * (1 - weights[at])
-                    row, col = np.nonzero(mixed >= floors[at])
-                    if row.size == 0:
-                        continue
-                    users = at[col]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            jobs.take(pa.array(part[row])),
-                            id_column.take(pa.array(users)),
-                            pa.array(role_sim[row, col]),
-                            pa.array(skill_sim[row, col]),
-                            pa.array(weights[users]),
-                            pa.array(thresholds[users]),
-                        ],
-                        schema=_PAIRS,
-                    )
-
-    narrow = rule_offers(offers, excluded_companies)
-    candidates = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_")).select(
-        "job_id", "group_id"
+    if seeker_bytes <= limit:
+        side = right.withColumnsRenamed({k: f"want_{k}" for k in RULE_KEYS})
+        joined = left.join(F.broadcast(side), rule_condition(left, side, "want_"))
+    else:
+        joined = salted_join(
+            left,
+            right,
+            RULE_KEYS,
+            "job_id",
+            OFFERS_PER_SALT if offers_per_salt is None else offers_per_salt,
+            narrow.groupBy(*RULE_KEYS).agg(F.count("*").alias("n")),
+        )
+    pairs = joined.select(
+        "job_id", "user_id", "role_weight", "similarity_threshold", "offer_role",
+        "offer_skills", "seeker_role", "seeker_skills",
+    ).mapInArrow(_score_blocks, _PAIRS_DDL)
+    score = weighted_score(
+        F.bround("role", 4), F.bround("skills", 4), F.col("role_weight")
     )
-    scored = (
-        candidates.join(offer_embeds, "job_id")
-        .select("job_id", "group_id", "role_embeds", "avg_skill_embeds")
-        .mapInArrow(score, _PAIRS_DDL)
-        .withColumns({"role_sim": F.bround("role", 4), "skill_sim": F.bround("skills", 4)})
+    return (
+        pairs.withColumn("score", score)
+        .where(F.col("score") >= F.col("similarity_threshold"))
+        .select("user_id", "job_id", "score")
     )
-    return _passing(scored)
-
-
-def score_matches(
-    offers: DataFrame,
-    offer_embeds: DataFrame,
-    profiles: DataFrame,
-    seeker_embeds: DataFrame,
-    excluded_companies: Sequence[str] = (),
-) -> DataFrame:
-    """``(user_id, job_id, score)`` for all seekers; the route depends on checked sizes."""
-    seekers = seekers_with_vectors(profiles, seeker_embeds)
-    numbers = F.size("avg_role_embeds") + F.size("avg_skill_embeds")
-    n, n_bytes, n_criteria = seekers.agg(
-        F.count("*"),
-        F.coalesce(F.sum(numbers.cast("bigint") * 8), F.lit(0)),
-        F.coalesce(F.sum(criteria_rows()), F.lit(0)),
-    ).first()
-    if 0 < n <= MATRIX_SEEKERS and n_bytes <= MATRIX_BYTES and n_criteria <= BROADCAST_ROWS:
-        # Bounded by the counts just taken.
-        rows = seekers.select(
-            "user_id", "role_weight", "similarity_threshold", "avg_role_embeds",
-            "avg_skill_embeds",
-        ).collect()
-        return score_by_matrix(offers, offer_embeds, profiles, rows, excluded_companies)
-    return score_by_join(offers, offer_embeds, seekers, excluded_companies)

@@ -20,17 +20,19 @@ def salted_join(
     keys: Sequence[str],
     spread_by: str,
     rows_per_salt: int = 1_000_000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on ``keys``, nulls matching nulls.
 
     A key with more than ``rows_per_salt`` rows in ``big`` is cut into that many
     salts, and only its rows in ``other`` are repeated. There are at most
-    ``count(big) / rows_per_salt`` hot keys, which bounds the broadcast.
+    ``count(big) / rows_per_salt`` hot keys, which bounds the broadcast. ``sizes``
+    may give ``(keys, n)`` where counting ``big`` itself would be costly.
     """
+    if sizes is None:
+        sizes = big.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = (
-        big.groupBy(*keys)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > rows_per_salt)
+        sizes.where(F.col("n") > rows_per_salt)
         .select(
             *[F.col(k).alias(f"hot_{k}") for k in keys],
             F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"),

@@ -14,12 +14,8 @@ from offerloom.operators.availability import (
 )
 from offerloom.operators.embedding import HashingModel, embed_phrases, hashing_factory
 from offerloom.operators.rules import criteria, match_rules, parse_seekers
-from offerloom.operators.scoring import (
-    score_by_join,
-    score_by_matrix,
-    score_matches,
-    seekers_with_vectors,
-)
+from offerloom.operators import scoring
+from offerloom.operators.scoring import score_matches
 from offerloom.plans.embed import embed_offers, embed_seekers
 from offerloom.plans.match import recommend, rule_matches, with_language
 from offerloom.plans.offers import (
@@ -290,7 +286,7 @@ def test_equal_vectors_score_one(spark):
     assert rows(found) == [("user1", "job1", "user1|job1", date(2024, 3, 10), 1.0)]
 
 
-def test_both_score_routes_agree_with_brute_force(spark):
+def test_all_score_routes_agree_with_brute_force(spark, monkeypatch):
     offer_embeds, seeker_embeds = embeds(spark)
     seekers = seeker_table(
         spark,
@@ -301,10 +297,12 @@ def test_both_score_routes_agree_with_brute_force(spark):
     )
     profiles = parse_seekers(seekers)
     offers = with_language(offer_table(spark, OFFERS), word_table(spark))
-    joined = seekers_with_vectors(profiles, seeker_embeds)
-    by_join = score_by_join(offers, offer_embeds, joined, ["Fake"], rows_per_salt=1)
-    by_matrix = score_by_matrix(offers, offer_embeds, profiles, joined.collect(), ["Fake"])
-    routed = score_matches(offers, offer_embeds, profiles, seeker_embeds, ["Fake"])
+    tables = (offers, offer_embeds, profiles, seeker_embeds, ["Fake"])
+    by_broadcast = score_matches(*tables)
+    by_shuffle = score_matches(*tables, broadcast_bytes=0)
+    by_salts = score_matches(*tables, broadcast_bytes=0, offers_per_salt=1)
+    monkeypatch.setattr(scoring, "BLOCK", 1)
+    by_rows = score_matches(*tables)
 
     def cosine(a, b):
         return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 4)
@@ -320,7 +318,7 @@ def test_both_score_routes_agree_with_brute_force(spark):
         )
         if score >= floor:
             expected[user, job] = pytest.approx(score, abs=1e-12)
-    for df in (by_join, by_matrix, routed):
+    for df in (by_broadcast, by_shuffle, by_salts, by_rows):
         assert {(r.user_id, r.job_id): r.score for r in df.collect()} == expected
 
 
