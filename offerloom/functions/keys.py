@@ -29,42 +29,33 @@ def name_uuid_hex(name: Column) -> Column:
 def base57(hex128: Column) -> Column:
     """Write a 128-bit hex number in base 57, padded to 22 characters.
 
-    Long division over four 32-bit limbs. Each step divides by 57 and keeps the
-    remainder as the next digit, least significant first.
+    The number is divided twice by 57^8 in decimals, which splits it into 6, 8 and 8
+    digits that fit in 64-bit integers. Everything is straight-line code, without a
+    loop over digits.
     """
-    limbs = [
-        F.conv(F.substring(hex128, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)
-    ]
-    start = F.struct(
-        limbs[0].alias("a"),
-        limbs[1].alias("b"),
-        limbs[2].alias("c"),
-        limbs[3].alias("d"),
-        F.lit("").alias("text"),
+    chunk = F.lit(str(57**8)).cast("decimal(15,0)")
+    two_64 = F.lit(str(2**64)).cast("decimal(20,0)")
+    high, low = (
+        F.conv(F.substring(hex128, start, 16), 16, 10).cast("decimal(20,0)") for start in (1, 17)
     )
 
-    def whole(x: Column) -> Column:
-        return F.floor(x / F.lit(57.0)).cast("bigint")
-
-    def step(acc: Column, _: Column) -> Column:
-        # Remainders stay below 57, so every intermediate fits in 38 bits and the
-        # double division inside ``whole`` is exact.
-        shift = F.lit(1 << 32)
-        rem_a = acc["a"] % 57
-        cur_b = rem_a * shift + acc["b"]
-        cur_c = (cur_b % 57) * shift + acc["c"]
-        cur_d = (cur_c % 57) * shift + acc["d"]
-        digit = (cur_d % 57).cast("int")
-        return F.struct(
-            whole(acc["a"]).alias("a"),
-            whole(cur_b).alias("b"),
-            whole(cur_c).alias("c"),
-            whole(cur_d).alias("d"),
-            F.concat(F.substring(F.lit(BASE57), digit + 1, F.lit(1)), acc["text"]).alias("text"),
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(KEY_WIDTH))
-    return F.aggregate(steps, start, step, lambda acc: acc["text"])
+    def divided(x: Column) -> tuple[Column, Column]:
+        rest = x % chunk
+        return ((x - rest) / chunk).cast("decimal(20,0)"), rest.cast("decimal(15,0)")
+
+    high_whole, high_rest = divided(high)
+    low_whole, last = divided((high_rest * two_64 + low).cast("decimal(38,0)"))
+    first, middle = divided((high_whole * two_64 + low_whole).cast("decimal(38,0)"))
+
+    def letters(value: Column, count: int) -> list[Column]:
+        number = value.cast("bigint")
+        places = [
+            F.call_function("div", number, F.lit(57**power)) % 57
+            for power in range(count - 1, -1, -1)
+        ]
+        return [F.substring(F.lit(BASE57), x.cast("int") + 1, F.lit(1)) for x in places]
+
+    return F.concat(*letters(first, KEY_WIDTH - 16), *letters(middle, 8), *letters(last, 8))
 
 
 def stable_key(link: Column) -> Column:
