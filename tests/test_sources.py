@@ -344,7 +344,7 @@ def test_config():
     assert config.excluded_companies == ("A", "B") and config.recency_days == 3
     assert config.english_threshold == 0.5 and config.embed_limit == 5000
     with pytest.raises(ValueError, match="unknown settings"):
-        EngineConfig.from_mapping({"telegram": "x"})
+        EngineConfig.from_mapping({"colour": "x"})
 
 
 def test_shared_dir_and_lineage(spark):
