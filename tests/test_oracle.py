@@ -16,7 +16,7 @@ def connection():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(CHECKS))
 def test_query_agrees_with_sql(spark, connection, name):
     rows, problems = oracle.compare(spark, connection, FOLDER, QUERIES[name], CHECKS[name])
     assert problems == []
