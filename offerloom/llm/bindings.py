@@ -20,6 +20,13 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(common.documents(spark, folder))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from offerloom.llm.line_dedup import without_repeated_lines
+
+    docs = common.documents(spark, folder).select("doc_id", "text")
+    return without_repeated_lines(docs)
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from offerloom.llm.language_id import language_answers
 
@@ -39,6 +46,12 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(common.documents(spark, folder))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from offerloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(common.documents(spark, folder), k=4, num=85, den=100)
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from offerloom.llm.packing import pack_documents
 
@@ -56,8 +69,10 @@ def op9_token_records(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Bound] = {
     "op1_exact_topk": Bound(op1_exact_topk, exact_topk.ORACLE_SQL),
     "op2_source_mixing": Bound(op2_source_mixing, mixing.ORACLE_SQL),
+    "op3_line_dedup": Bound(op3_line_dedup),
     "op4_language_id": Bound(op4_language_id),
     "op5_quality_classifier": Bound(op5_quality_classifier),
+    "op6_jaccard_join": Bound(op6_jaccard_join),
     "op7_best_fit_packing": Bound(op7_best_fit_packing),
     "op10_personal_data": Bound(op10_personal_data),
     "op8_nearest_neighbours": Bound(op8_nearest_neighbours, nearest.ORACLE_SQL),
