@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +61,12 @@ def class_of(elements: np.ndarray) -> int:
     return int(mixed(total + np.uint64(len(elements))).view(np.int64)[0])
 
 
-def prefix(elements: np.ndarray, last: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first elements in the order: by number, those in ``last`` after all others."""
-    most = len(elements) - needed(len(elements), num, den) + 1
+def prefix(elements: np.ndarray, last: np.ndarray, num: int, den: int, wide: int = 1) -> np.ndarray:
+    """The first elements in the order: by number, those in ``last`` after all others.
+
+    ``wide`` takes that many times as many elements as a link needs to show one in common.
+    """
+    most = wide * (len(elements) - needed(len(elements), num, den) + 1)
     if not len(last):
         return elements[:most]
     at = np.minimum(np.searchsorted(last, elements), len(last) - 1)
@@ -90,7 +93,7 @@ def document_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = sets_of(part.column("text"), k)
-                firsts = [prefix(s, none, num, den) for s in found]
+                firsts = [prefix(s, none, num, den, wide=2) for s in found]
                 flat = np.concatenate([none, *firsts]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -107,15 +110,20 @@ def document_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return source.mapInArrow(signed, "doc_id long, n long, class long, prefix array<long>")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(class, n, elements)`` of the classes whose ``(rep, rep_class)`` is in ``wanted``."""
+def class_sets(docs: DataFrame, wanted: DataFrame, k: int, first: Callable | None = None) -> DataFrame:
+    """``(class, n, elements)`` of the classes whose ``(rep, rep_class)`` is in ``wanted``.
+
+    ``first`` may choose the elements to return. A class stands there once for each row that
+    repeats its representative.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = sets_of(part.column("text"), k)
-                flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                shown = [first(s) if first else s for s in found]
+                flat = np.concatenate([np.zeros(0, np.uint64), *shown]).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in shown])]).astype(np.int32)
                 own = pa.array([class_of(s) if len(s) else None for s in found], pa.int64())
                 sizes = pa.array([len(s) for s in found], pa.int64())
                 sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -128,18 +136,22 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     found = texts.select("text", "rep_class").mapInArrow(
         signed, "class long, n long, elements array<long>, rep_class long"
     )
-    # An id that stands on several texts brings them all; one row of the class stays.
-    found = found.where(F.col("class") == F.col("rep_class")).drop("rep_class")
-    return found
+    # An id that stands on several texts brings them all; those of the class stay.
+    return found.where(F.col("class") == F.col("rep_class")).drop("rep_class")
+
+
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """``(class, key, sets)`` of the keys that stand in more than one class; one shuffle."""
+    dealt = entries.repartition("key")
+    counted = dealt.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+    return dealt.join(counted, "key").select("class", "key", "sets")
 
 
-def list_entries(sets: DataFrame, last: list[int], num: int, den: int, light: int) -> DataFrame:
+def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light: int) -> DataFrame:
     """``(class, n, key)``: subset keys of light sets, list entries of the others.
 
     A light set that may link with a heavy one stands in the lists too.
     """
-    moved = np.sort(np.array(last, np.int64).view(np.uint64))
-
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("elements")
@@ -177,10 +189,11 @@ def light_boundary(sizes: DataFrame, scan: float, num: int, den: int) -> int:
     return at
 
 
-def _long_lists(counted: DataFrame) -> list[int]:
+def _long_lists(shared: DataFrame) -> np.ndarray:
     """Keys of the longest lists, ``MOST_MOVED`` at most."""
-    rows = counted.where(F.col("sets") > LONG_LIST).orderBy(F.desc("sets"), "key").limit(MOST_MOVED)
-    return [r["key"] for r in rows.select("key").collect()]
+    keys = shared.where(F.col("sets") > LONG_LIST).groupBy("key").agg(F.max("sets").alias("sets"))
+    rows = keys.orderBy(F.desc("sets"), "key").limit(MOST_MOVED).select("key").collect()
+    return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,13 +212,14 @@ def _near_sizes(a: str, b: str, num: int, den: int):
 
 def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``(a, b)`` between classes that give the components of all links."""
-    leaders = entries.groupBy("key").agg(
+    dealt = entries.repartition("key")
+    leaders = dealt.groupBy("key").agg(
         F.min(F.struct(F.xxhash64("class", "key").alias("h"), "class", "n")).alias("lead"), F.count("*").alias("sets")
     )
     leaders = leaders.where(F.col("sets") > 1).select(
         F.col("key").alias("own_key"), F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n")
     )
-    listed = staged(entries.join(leaders, F.col("key") == F.col("own_key")).drop("own_key"), "jaccard-listed")
+    listed = staged(dealt.join(leaders, F.col("key") == F.col("own_key")).drop("own_key"), "jaccard-listed")
     star = listed.where((F.col("class") != F.col("lead")) & _near_sizes("n", "lead_n", num, den))
     star = star.select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
     first = staged(_verified(star, sets, num, den), "jaccard-links")
@@ -228,6 +242,19 @@ def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     return first.unionByName(staged(second, "jaccard-links"))
 
 
+def _with_partner(classes: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """``(rep, rep_class)`` of the classes that may link, by their shared first elements.
+
+    Two sets that link have one of their first ``p`` elements in common, and one more for each
+    further element: of twice ``p`` they share ``p + 1``, or all but ``p - 1`` of a smaller set.
+    """
+    counted = shared.groupBy("class").agg(F.count("*").alias("held")).withColumnRenamed("class", "own")
+    p = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    wanted = classes.where(F.col("rep").isNotNull()).join(counted, F.col("class") == F.col("own"))
+    wanted = wanted.where(F.col("held") >= 1 + F.least(p, F.col("n") - p))
+    return staged(wanted.select("rep", F.col("class").alias("rep_class")), "jaccard-wanted")
+
+
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row.
 
@@ -245,25 +272,26 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     )
     classes = staged(classes, "jaccard-classes")
     entries = classes.select("class", F.explode("prefix").alias("key"))
-    counted = staged(entries.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-counts")
-    alive = entries.join(counted.select("key"), "key", "left_semi").select("class").distinct()
+    shared = staged(shared_entries(entries), "jaccard-shared")
+    mass = shared.agg(F.sum("sets").alias("s"), F.count("*").alias("n")).first()
     sizes = classes.groupBy("n").agg(F.count("*").alias("sets"))
-    mass = counted.agg(F.sum(F.col("sets") * F.col("sets")).alias("s"), F.sum("sets").alias("n")).first()
     light = light_boundary(sizes, (mass["s"] or 0) / (mass["n"] or 1), num, den)
-    # Sets that link, light ones too, share a first element; the others have no partner.
-    wanted = classes.join(alive.withColumnRenamed("class", "own"), F.col("class") == F.col("own"))
-    wanted = wanted.where(F.col("rep").isNotNull())
-    wanted = staged(wanted.select("rep", F.col("class").alias("rep_class")), "jaccard-wanted")
-    sets = staged(class_sets(docs, wanted, k).dropDuplicates(["class"]), "jaccard-sets")
-    last = _long_lists(counted)
-    listed = staged(list_entries(sets, last, num, den, light), "jaccard-entries")
+    # Sets that link, light ones too, share first elements in every order; those that do not
+    # leave. Moving long lists to the end of the order leaves ever fewer, as long as it pays.
+    moved, more = np.zeros(0, np.uint64), _long_lists(shared)
+    wanted = _with_partner(classes, shared, num, den)
+    before, left = math.inf, wanted.count()
     for _ in range(ROUNDS):
-        again = _long_lists(listed.groupBy("key").agg(F.count("*").alias("sets")))
-        more = set(again) - set(last)
-        if not more or len(last) + len(more) > MOST_MOVED:
+        more = np.setdiff1d(more, moved)
+        if not len(more) or len(moved) + len(more) > MOST_MOVED or left > 0.8 * before:
             break
-        last += sorted(more)
-        listed = staged(list_entries(sets, last, num, den, light), "jaccard-entries")
+        moved = np.sort(np.concatenate([moved, more]))
+        firsts = class_sets(docs, wanted, k, lambda s, last=moved: prefix(s, last, num, den, wide=2))
+        shared = staged(shared_entries(firsts.select("class", F.explode("elements").alias("key"))), "jaccard-shared")
+        more, wanted = _long_lists(shared), _with_partner(classes, shared, num, den)
+        before, left = left, wanted.count()
+    sets = staged(class_sets(docs, wanted, k), "jaccard-sets")
+    listed = list_entries(sets, moved, num, den, light)
     roots = staged(components(links(sets, listed, num, den)), "jaccard-roots")
     joined = classes.select("class", "rep", "copies").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left"
