@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.bytesview import SLICE_BYTES, Words, bytes_of, mixed, shingles
@@ -35,6 +35,9 @@ from offerloom.operators.sizing import broadcast_if_small
 LONG_LIST = 40
 MOST_MOVED = 200_000
 ROUNDS = 6
+#: Sets with more keys do not say which key comes first; their pairs are made distinct later.
+FEW_KEYS = 64
+SIGNS = ("p0", "p1", "p2", "p3")
 #: No set above this size is enumerated, whatever the costs.
 LIGHT_MOST = 20
 
@@ -85,36 +88,28 @@ def subset_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     return mixed(np.array(out, np.uint64))
 
 
-def document_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, n, class, prefix)`` of every row; class is null for an empty set."""
+def document_classes(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, n, class)`` of every row; class is null for an empty set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = sets_of(part.column("text"), k)
-                firsts = [prefix(s, none, num, den, wide=2) for s in found]
-                flat = np.concatenate([none, *firsts]).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
+                own = pa.array([class_of(s) if len(s) else None for s in found], pa.int64())
+                sizes = pa.array([len(s) for s in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in found], pa.int64()),
-                        pa.array([class_of(s) if len(s) else None for s in found], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    ],
-                    names=["doc_id", "n", "class", "prefix"],
+                    [part.column("doc_id"), sizes, own], names=["doc_id", "n", "class"]
                 )
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(signed, "doc_id long, n long, class long, prefix array<long>")
+    return source.mapInArrow(signed, "doc_id long, n long, class long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, k: int, first: Callable | None = None) -> DataFrame:
+def class_sets(docs: DataFrame, wanted: DataFrame | None, k: int, first: Callable | None = None) -> DataFrame:
     """``(class, n, elements)`` of the classes whose ``(rep, rep_class)`` is in ``wanted``.
 
     ``first`` may choose the elements to return. A class stands there once for each row that
-    repeats its representative.
+    repeats its representative, and once for each row where nothing is said of ``wanted``.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +127,15 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int, first: Callable | Non
                 )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("rep"))
+    if wanted is None:
+        texts = texts.withColumn("rep_class", F.lit(None).cast("long"))
+    else:
+        texts = texts.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("rep"))
     found = texts.select("text", "rep_class").mapInArrow(
         signed, "class long, n long, elements array<long>, rep_class long"
     )
+    if wanted is None:
+        return found.where(F.col("class").isNotNull()).drop("rep_class")
     # An id that stands on several texts brings them all; those of the class stay.
     return found.where(F.col("class") == F.col("rep_class")).drop("rep_class")
 
@@ -143,14 +143,25 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int, first: Callable | Non
 def shared_entries(entries: DataFrame) -> DataFrame:
     """``(class, key, sets)`` of the keys that stand in more than one class; one shuffle."""
     dealt = entries.repartition("key")
-    counted = dealt.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    return dealt.join(counted, "key").select("class", "key", "sets")
+    counted = dealt.groupBy("key").agg(F.count("*").alias("sets"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    return dealt.join(counted.where("lo < hi"), "key").select("class", "key", "sets")
+
+
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether the number of elements is odd, for each of 256 shares of them, as four numbers.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
+    odd = np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light: int) -> DataFrame:
-    """``(class, n, key)``: subset keys of light sets, list entries of the others.
+    """``(class, n, key, p0..p3, earlier)``: subset keys of light sets, list entries of others.
 
-    A light set that may link with a heavy one stands in the lists too.
+    A light set that may link with a heavy one stands in the lists too. ``earlier`` holds the
+    keys that the same set names before this one, in an order that all sets share, so that a
+    pair can be told at its first common key; sets with many keys leave it empty.
     """
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,24 +169,33 @@ def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light:
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             sizes = batch.column("n").to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            keys = []
+            keys, signs, before = [], [], []
             for n, end in zip(sizes.tolist(), ends.tolist()):
                 own = np.sort(flat[end - n : end])
                 part = [subset_keys(own, num, den)] if n <= light else []
                 if n > light or den * n >= num * (light + 1):
                     part.append(prefix(own, moved, num, den))
-                keys.append(np.concatenate(part))
+                keys.append(np.unique(np.concatenate(part)))
+                signs.append(parities(own))
+                few = len(keys[-1]) if len(keys[-1]) <= FEW_KEYS else 0
+                before.extend(keys[-1][:i].view(np.int64) if few else keys[-1][:0].view(np.int64) for i in range(len(keys[-1])))
             counts = [len(x) for x in keys]
+            sign = np.repeat(np.array(signs, np.int64).reshape(-1, 4), counts, axis=0)
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in before])]).astype(np.int32)
+            earlier = np.concatenate([np.zeros(0, np.int64), *before])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column("class").to_numpy(zero_copy_only=False), counts)),
                     pa.array(np.repeat(sizes, counts)),
                     pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(sign[:, i])) for i in range(4)],
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(earlier)),
                 ],
-                names=["class", "n", "key"],
+                names=["class", "n", "key", *SIGNS, "earlier"],
             )
 
-    return sets.mapInArrow(entries, "class long, n long, key long")
+    signs = ", ".join(f"{p} long" for p in SIGNS)
+    return sets.mapInArrow(entries, f"class long, n long, key long, {signs}, earlier array<long>")
 
 
 def light_boundary(sizes: DataFrame, scan: float, num: int, den: int) -> int:
@@ -206,39 +226,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where((num + den) * shared >= num * total).select("a", "b")
 
 
-def _near_sizes(a: str, b: str, num: int, den: int):
-    return (den * F.col(a) >= num * F.col(b)) & (den * F.col(b) >= num * F.col(a))
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes ``{a}n`` and parities ``{a}p0..`` leave the pair a chance to link."""
+    m, n = F.col(f"{a}n"), F.col(f"{b}n")
+    # An overlap of o makes a difference of m + n - 2 * o elements.
+    most = (m + n) - 2 * F.ceil(num * (m + n) / (num + den))
+    seen = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in SIGNS), F.lit(0))
+    return (den * m >= num * n) & (den * n >= num * m) & (seen <= most)
 
 
 def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``(a, b)`` between classes that give the components of all links."""
     dealt = entries.repartition("key")
+    lead = F.struct(F.xxhash64("class", "key").alias("h"), "class", "n", *SIGNS)
     leaders = dealt.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("class", "key").alias("h"), "class", "n")).alias("lead"), F.count("*").alias("sets")
+        F.min(lead).alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")
     )
-    leaders = leaders.where(F.col("sets") > 1).select(
-        F.col("key").alias("own_key"), F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n")
+    leaders = leaders.where(F.col("lo") < F.col("hi")).select(
+        F.col("key").alias("own_key"), F.col("lead.class").alias("lead_class"),
+        *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("n", *SIGNS)],
     )
     listed = staged(dealt.join(leaders, F.col("key") == F.col("own_key")).drop("own_key"), "jaccard-listed")
-    star = listed.where((F.col("class") != F.col("lead")) & _near_sizes("n", "lead_n", num, den))
-    star = star.select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
-    first = staged(_verified(star, sets, num, den), "jaccard-links")
-    roots = components(first)
-    named = listed.join(roots, F.col("class") == F.col("node"), "left")
-    named = named.select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    star = listed.where((F.col("class") != F.col("lead_class")) & _may_link("", "lead_", num, den))
+    star = star.select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"))
+    first = staged(_verified(star.distinct(), sets, num, den), "jaccard-links")
+    named = listed.join(components(first), F.col("class") == F.col("node"), "left")
+    named = named.select("key", "class", "n", *SIGNS, "earlier", F.coalesce("root", "class").alias("root"))
     # Lists whose sets are all in one component have nothing left to compare.
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_keys = open_keys.where(F.col("lo") < F.col("hi")).select("key")
-    named = staged(named.join(open_keys, "key", "left_semi"), "jaccard-open")
-    other = named.select(
-        F.col("key").alias("own_key"), F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root")
-    )
-    cross = named.withColumnRenamed("class", "a").join(
+    named = staged(named.join(open_keys, "key", "left_semi").dropDuplicates(["class", "key"]), "jaccard-open")
+    other = named.select(*[F.col(c).alias(f"b_{c}") for c in named.columns])
+    cross = named.join(
         other,
-        (F.col("key") == F.col("own_key")) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("b_root"))
-        & _near_sizes("n", "b_n", num, den),
-    )
-    second = _verified(cross.select("a", "b").distinct(), sets, num, den)
+        (F.col("key") == F.col("b_key")) & (F.col("class") < F.col("b_class")) & (F.col("root") != F.col("b_root"))
+        & _may_link("", "b_", num, den) & ~F.arrays_overlap("earlier", "b_earlier"),
+    ).select(F.col("class").alias("a"), F.col("b_class").alias("b"))
+    second = _verified(cross.distinct(), sets, num, den)
     return first.unionByName(staged(second, "jaccard-links"))
 
 
@@ -248,7 +272,7 @@ def _with_partner(classes: DataFrame, shared: DataFrame, num: int, den: int) ->
     Two sets that link have one of their first ``p`` elements in common, and one more for each
     further element: of twice ``p`` they share ``p + 1``, or all but ``p - 1`` of a smaller set.
     """
-    counted = shared.groupBy("class").agg(F.count("*").alias("held")).withColumnRenamed("class", "own")
+    counted = shared.groupBy("class").agg(F.count_distinct("key").alias("held")).withColumnRenamed("class", "own")
     p = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     wanted = classes.where(F.col("rep").isNotNull()).join(counted, F.col("class") == F.col("own"))
     wanted = wanted.where(F.col("held") >= 1 + F.least(p, F.col("n") - p))
@@ -265,14 +289,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     Other columns are ignored; an empty table gives no rows. Shingles and equal sets are
     compared by 64-bit hashes.
     """
-    rows = staged(document_classes(docs, k, num, den), "jaccard-rows")
+    rows = staged(document_classes(docs, k), "jaccard-rows")
     classes = rows.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"),
-        F.any_value("prefix").alias("prefix"),
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")
     )
     classes = staged(classes, "jaccard-classes")
-    entries = classes.select("class", F.explode("prefix").alias("key"))
-    shared = staged(shared_entries(entries), "jaccard-shared")
+    none = np.zeros(0, np.uint64)
+    firsts = class_sets(docs, None, k, lambda s: prefix(s, none, num, den, wide=2))
+    shared = staged(shared_entries(firsts.select("class", F.explode("elements").alias("key"))), "jaccard-shared")
     mass = shared.agg(F.sum("sets").alias("s"), F.count("*").alias("n")).first()
     sizes = classes.groupBy("n").agg(F.count("*").alias("sets"))
     light = light_boundary(sizes, (mass["s"] or 0) / (mass["n"] or 1), num, den)
