@@ -363,7 +363,7 @@ FROM by_text
 
 
 def title_description_extract(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles and texts of two sources, the first thousand by id."""
+    """Titles and texts of three sources."""
     offers = table(spark, folder, "documents").select(
         F.col("source").alias("industries"),
         F.col("lang").alias("vacancy_name"),
@@ -371,14 +371,14 @@ def title_description_extract(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("2024-01-25").cast("date").alias("publication_date"),
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("job_id"),
     )
-    return title_extract(offers, ["src1", "src2", "src7"], 1000).select(
+    return title_extract(offers, ["src1", "src2", "src7"]).select(
         "vacancy_name", F.md5("description").alias("description_md5")
     )
 
 
 TITLE_EXTRACT_SQL = """
 SELECT lang AS vacancy_name, md5(text) AS description_md5 FROM documents
-WHERE source IN ('src1', 'src2', 'src7') ORDER BY doc_id LIMIT 1000
+WHERE source IN ('src1', 'src2', 'src7')
 """
 
 QUERIES = {

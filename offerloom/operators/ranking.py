@@ -42,7 +42,10 @@ def row_number_in_groups(
     )
     number = F.col("__id") - F.col("__first") + F.col("__before") + 1
     return (
-        placed.join(offsets, [group, "__part"])
+        placed.join(
+            offsets.withColumnsRenamed({group: "__group", "__part": "__own_part"}),
+            F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__own_part")),
+        )
         .withColumn(name, number)
-        .drop("__id", "__part", "__first", "__before")
+        .drop("__id", "__part", "__own_part", "__group", "__first", "__before")
     )

@@ -13,7 +13,7 @@ from offerloom.operators.skew import salted_join
 
 try:
     import ahocorasick
-except ImportError:  # the built-in expression then serves every bounded dictionary
+except ImportError:  # the join then serves every dictionary too large to scan for
     ahocorasick = None
 
 # Up to this many terms, testing them one by one inside the JVM is cheapest.
@@ -79,7 +79,10 @@ def tags_by_join(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
         starts = F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))
 
-    grams = F.array_distinct(F.flatten(F.array(*[windows(n) for n in range(0, ANCHOR + 1)])))
+    lengths = anchored.select(F.length("anchor").alias("n")).distinct().collect()
+    if not lengths:
+        lengths = [(0,)]
+    grams = F.array_distinct(F.flatten(F.array(*[windows(n) for (n,) in lengths])))
     offered = lowered.select(id_col, F.explode(grams).alias("anchor"))
     # A common anchor occurs in a large share of the texts, hence the salted join.
     candidates = salted_join(offered, anchored, ["anchor"], id_col).select(id_col, "pos", "skill")
@@ -105,16 +108,23 @@ def with_tags(
     out_col: str = "skills",
     when: Column | None = None,
 ) -> DataFrame:
-    """Add the tag list. ``terms`` has ``pos`` and ``skill``; ``when`` limits the work."""
-    rows = rows_if_small(terms.where("skill is not null").select("pos", "skill"), BOUNDED_TERMS)
+    """Add the tag list. ``terms`` has ``pos`` and ``skill``; ``when`` limits the work.
+
+    Rows are tagged by their text alone, so repeated and null ids are of no consequence
+    on any route.
+    """
+    terms = terms.where("skill is not null").select("pos", "skill")
+    rows = rows_if_small(terms, SCAN_TERMS if ahocorasick is None else BOUNDED_TERMS)
     if rows is None:
-        source = df if when is None else df.where(when)
-        tagged = tags_by_join(source, id_col, text_col, terms)
-        return df.join(tagged.withColumnRenamed("tags", out_col), id_col, "left")
+        shown = F.lower(text_col) if when is None else F.when(when, F.lower(text_col))
+        keyed = df.withColumn("__text_key", F.md5(shown))
+        texts = keyed.where("__text_key is not null").select("__text_key", F.lower(text_col).alias("__text"))
+        tagged = tags_by_join(texts.dropDuplicates(["__text_key"]), "__text_key", "__text", terms)
+        joined = keyed.join(tagged.withColumnRenamed("tags", out_col), "__text_key", "left")
+        return joined.drop("__text_key")
     ordered = [r["skill"] for r in sorted(rows, key=lambda r: (r["pos"], r["skill"]))]
     text = F.col(text_col) if when is None else F.when(when, F.col(text_col))
-    by_scan = ahocorasick is None or len(ordered) <= SCAN_TERMS
-    find = tags_by_scan if by_scan else tags_by_automaton
+    find = tags_by_scan if len(ordered) <= SCAN_TERMS else tags_by_automaton
     # A column of its own, so that a text is lowercased once and not once per term.
     lowered = df.withColumn("__lowered", F.lower(text))
     return lowered.withColumn(out_col, find(F.col("__lowered"), ordered)).drop("__lowered")

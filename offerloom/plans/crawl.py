@@ -11,6 +11,7 @@ from offerloom.functions.dates import as_of_column, day_text
 from offerloom.functions.urls import SEARCH_DEFAULTS, canonical_url, search_url
 from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.html import detail_rows, listing_links
+from offerloom.operators.sizing import broadcast_if_small
 from offerloom.schemas import RAW_OFFERS
 
 
@@ -26,12 +27,22 @@ def frontier(
 def found_links(
     pages: DataFrame, searches: DataFrame, max_jobs: int | None = None
 ) -> DataFrame:
-    """``(role, link)`` seen on the captured listing page of each search.
+    """``(role, link)`` seen on the newest readable capture of each search's listing.
 
+    Captures with an error status, or none, count as not readable. Where the searches are
+    few (their number is checked), they are broadcast and page bodies stay where they are.
     ``max_jobs`` keeps the first links per search in link order.
     """
-    listings = pages.join(searches.select("url", "role"), "url")
-    links = listing_links(listings, keep=("role",)).select("role", "link").distinct()
+    wanted = broadcast_if_small(searches.select("url", "role").distinct(), text_cols=("url", "role"))
+    readable = pages.where(F.coalesce(F.col("status_code") < 400, F.lit(False)))
+    newest = readable.select("url", "fetched_at").join(wanted.select("url").distinct(), "url", "left_semi")
+    newest = newest.groupBy("url").agg(F.max("fetched_at").alias("newest")).withColumnRenamed("url", "own_url")
+    listings = listing_links(readable.join(wanted, "url"), keep=("role", "fetched_at"))
+    # Only narrow rows meet the dates.
+    links = listings.join(
+        newest, (F.col("url") == F.col("own_url")) & F.col("fetched_at").eqNullSafe(F.col("newest"))
+    )
+    links = links.select("role", "link").distinct()
     if max_jobs is None:
         return links
     window = Window.partitionBy("role").orderBy("link")

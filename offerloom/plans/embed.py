@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.vectors import mean_vector
+from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.embedding import ModelFactory, embed_phrases
 from offerloom.operators.filters import first_rows, ids_missing_from, ids_present_in
 from offerloom.operators.skew import salted_join
@@ -53,7 +54,10 @@ def embed_offers(
 
     ``limit`` bounds how many offers one run embeds, the newest first.
     """
-    missing = ids_missing_from(offers, previous, "job_id")
+    # What has no title or skills has no embedding, so it takes neither work nor limit.
+    has_skill = F.exists(F.coalesce("skills", F.array().cast("array<string>")), lambda s: s.isNotNull())
+    able = offers.where(F.col("vacancy_name").isNotNull() & has_skill)
+    missing = ids_missing_from(able, previous, "job_id")
     missing = first_rows(missing, [F.desc("publication_date"), F.col("job_id")], limit)
     titled = missing.select("job_id", "skills", F.array("vacancy_name").alias("titles"))
     lists = {"avg_skill_embeds": "skills", "role_embeds": "titles"}
@@ -68,7 +72,11 @@ def embed_seekers(
     factory: ModelFactory,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Embeddings of the seekers that exist now; those of former seekers are dropped."""
+    """Embeddings of the seekers that exist now; those of former seekers are dropped.
+
+    Of several records of a seeker, the one that the rules use counts.
+    """
+    seekers = keep_first(seekers, ["user_id"], [row_hash(seekers)])
     kept = ids_present_in(previous, seekers, "user_id")
     missing = ids_missing_from(seekers, kept, "user_id")
     lists = {"avg_skill_embeds": "skills", "avg_role_embeds": "job_titles"}

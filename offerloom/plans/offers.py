@@ -183,9 +183,9 @@ def newest_first(offers: DataFrame) -> DataFrame:
 
 
 def title_extract(
-    offers: DataFrame, industries: Sequence[str], limit: int | None = 1000
+    offers: DataFrame, industries: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Titles and descriptions of chosen industries, at most ``limit`` rows."""
+    """Titles and descriptions of chosen industries; all of them unless ``limit`` is set."""
     chosen = offers.where(F.col("industries").isin(list(industries)))
     ordered = [F.desc("publication_date"), F.col("job_id")]
     picked = chosen if limit is None else chosen.orderBy(*ordered).limit(limit)

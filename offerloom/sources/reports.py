@@ -17,6 +17,8 @@ def write_reports(lines: DataFrame, path: str, order: list[str]) -> None:
         .sortWithinPartitions("user_id", *order)
         .select("user_id", "line")
         .write.mode("overwrite")
+        # Only the users at hand are replaced, whatever the session's own setting.
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("user_id")
         .text(path)
     )

@@ -148,6 +148,24 @@ def test_tag_routes_agree(spark, monkeypatch, route):
     assert got == {i: expected_tags(t) for i, t in TEXTS}
 
 
+@pytest.mark.parametrize("bounded, library", [(200_000, True), (0, True), (200_000, False)])
+def test_tags_of_repeated_and_null_ids(spark, monkeypatch, bounded, library):
+    monkeypatch.setattr(tagging, "SCAN_TERMS", 0)
+    monkeypatch.setattr(tagging, "BOUNDED_TERMS", bounded)
+    if not library:
+        monkeypatch.setattr(tagging, "ahocorasick", None)
+    terms = spark.createDataFrame([(0, "java"), (1, "python"), (2, "dev")], "pos bigint, skill string")
+    df = spark.createDataFrame([(1, "Java dev"), (1, "Python"), (None, "java"), (None, None)], "id int, text string")
+    got = sorted((str(r.id), r.text or "", r.skills) for r in tagging.with_tags(df, "id", "text", terms).collect())
+    assert got == [("1", "Java dev", ["java", "dev"]), ("1", "Python", ["python"]), ("None", "", None), ("None", "java", ["java"])]
+
+
+def test_null_groups_are_numbered(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
+    got = {(r.g, r.v): r.n for r in row_number_in_groups(df, "g", [F.col("v")], "n").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 3): 1}
+
+
 def test_tags_with_the_empty_term_and_no_terms(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, text string")
     for terms, expected in (([(0, "")], [""]), ([], [])):
