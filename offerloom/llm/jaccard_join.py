@@ -271,11 +271,13 @@ def _with_partner(classes: DataFrame, shared: DataFrame, num: int, den: int) ->
 
     Two sets that link have one of their first ``p`` elements in common, and one more for each
     further element: of twice ``p`` they share ``p + 1``, or all but ``p - 1`` of a smaller set.
+    A smaller partner may have a smaller ``p`` and shows no more than twice that.
     """
     counted = shared.groupBy("class").agg(F.count_distinct("key").alias("held")).withColumnRenamed("class", "own")
-    p = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    least = F.ceil(F.col("n") * num / den)
+    p, least_p = F.col("n") - least + 1, least - F.ceil(least * num / den) + 1
     wanted = classes.where(F.col("rep").isNotNull()).join(counted, F.col("class") == F.col("own"))
-    wanted = wanted.where(F.col("held") >= 1 + F.least(p, F.col("n") - p))
+    wanted = wanted.where(F.col("held") >= 1 + F.least(p, F.col("n") - p, 2 * least_p - 1))
     return staged(wanted.select("rep", F.col("class").alias("rep_class")), "jaccard-wanted")
 
 

@@ -140,6 +140,19 @@ def test_jaccard_against_all_pairs(spark, docs, odd, empty):
     assert jaccard_join.jaccard_components(empty, 4, 85, 100).count() == 0
 
 
+@pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 4, 5)])
+def test_jaccard_of_texts_that_lack_the_last_word(spark, k, num, den):
+    """Linking sets whose smaller one shows few first elements, such as 7 and 6, or 5 and 4."""
+    texts = [" ".join(f"t{n}w{i}" for i in range(n)) for n in range(k + 1, 40)]
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, t.rsplit(" ", 1)[0]) for i, t in enumerate(texts)]
+    sets = {i: shingle_set(t, k) for i, t in rows}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in jaccard_join.jaccard_components(table, k, num, den).collect():
+        a, b = sets[r.doc_id & ~1], sets[r.doc_id | 1]
+        linked = den * len(a & b) >= num * len(a | b)
+        assert r.component_id == (r.doc_id & ~1 if linked else r.doc_id)
+
+
 def test_small_sets_meet_in_subsets():
     a, b = np.arange(1, 9, dtype=np.uint64), np.arange(2, 9, dtype=np.uint64)
     assert set(jaccard_join.subset_keys(a, 85, 100)) & set(jaccard_join.subset_keys(b, 85, 100))
