@@ -175,6 +175,15 @@ def test_lines(spark, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def test_long_lines_have_the_same_edit_bound(spark):
+    body = "alpha " * 1_500
+    near = [body + " ".join(f"{c}{i:03}" for i in range(140)) for c in ("bbb", "xyz")]
+    far = body + " ".join(f"qrst{i:05}" for i in range(250))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate([*near, far])], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.without_repeated_lines(table).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_lines_against_plain_version(spark, docs):
     """Exact copies all go but one; every line that is lost has a kept one within the edit bound."""
     norm = lambda x: " ".join(re.findall("[a-z0-9\u0080-\U0010ffff]+", x.lower()))
