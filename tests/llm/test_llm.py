@@ -175,6 +175,13 @@ def test_lines(spark, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    rows = ["Ok\nSign in\n---\n\n。。", "sign in!\n我们今天去公园散步\nab", "ok\n我们今天去公园散步\n---\n\n。。\n我们明天去公园"]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(table).collect()}
+    assert got == {0: rows[0], 1: "我们今天去公园散步\nab", 2: "---\n\n。。\n我们明天去公园"}
+
+
 def test_long_lines_have_the_same_edit_bound(spark):
     body = "alpha " * 1_500
     near = [body + " ".join(f"{c}{i:03}" for i in range(140)) for c in ("bbb", "xyz")]
