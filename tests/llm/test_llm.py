@@ -175,6 +175,47 @@ def test_lines(spark, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edited_lines_against_all_pairs(spark):
+    """Of linking pairs of lines, short ones are all found and 98 % of those with edited words."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    rows = []
+    for n in range(240):
+        line = [word() for _ in range(3 + n % 38)]
+        other = list(line)
+        for _ in range(1 + n // 120):
+            other[rng.integers(len(other))] = word()
+        letters = list(" ".join(line))
+        if n % 3 == 0 and len(letters) <= line_dedup.SHORT:
+            for _ in range(len(letters) // 10):
+                at = rng.integers(len(letters))
+                letters[at : at + 1] = [[], ["z"], [letters[at], "z"]][rng.integers(3)]
+            other = "".join(letters).split()
+        rows += [(2 * n, " ".join(line)), (2 * n + 1, " ".join(other))]
+    lines = dict(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.without_repeated_lines(table).collect()}
+    found = {True: [], False: []}
+    for n in range(240):
+        a, b = lines[2 * n], lines[2 * n + 1]
+        if a != b and 10 * edits(a, b) <= max(len(a), len(b)):
+            found[max(len(a), len(b)) <= line_dedup.SHORT].append(got[2 * n + 1])
+        elif a != b:
+            assert got[2 * n + 1] == 0
+    print("recall", {k: (sum(v), len(v)) for k, v in found.items()})
+    assert len(found[True]) >= 20 and all(found[True])
+    assert len(found[False]) > 100 and np.mean(found[False]) >= 0.98
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     rows = ["Ok\nSign in\n---\n\n。。", "sign in!\n我们今天去公园散步\nab", "ok\n我们今天去公园散步\n---\n\n。。\n我们明天去公园"]
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
