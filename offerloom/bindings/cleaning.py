@@ -30,7 +30,7 @@ from offerloom.operators.filters import (
     not_listed,
     recent,
 )
-from offerloom.plans.offers import build_offers, title_extract
+from offerloom.plans.offers import build_offers, title_extract, unusable_offers
 from offerloom.schemas import OFFERS
 
 AS_OF = "2024-01-25 09:00:00"
@@ -319,6 +319,30 @@ def offers_plan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def offers_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw offers put aside by reason; some documents lack a link, a text or a readable date."""
+    raw, _ = _document_offers(spark, folder)
+    size = F.length("description")
+    spoilt = raw.withColumns(
+        {
+            "link": F.when(size % 3 != 0, F.col("link")),
+            "description": F.when(size % 5 != 0, F.col("description")),
+            "publication_date": F.when(size % 7 == 0, "soon").otherwise(F.col("publication_date")),
+        }
+    )
+    return unusable_offers(spoilt).groupBy("reason").agg(F.count("record").alias("n"))
+
+
+OFFERS_QUARANTINE_SQL = """
+SELECT reason, count(*) AS n FROM (
+    SELECT CASE WHEN coalesce(length(text) % 3 = 0, true) THEN 'link missing'
+                WHEN coalesce(length(text) % 5 = 0, true) THEN 'description missing'
+                WHEN length(text) % 7 = 0 THEN 'publication_date unreadable' END AS reason
+    FROM documents
+) WHERE reason IS NOT NULL GROUP BY reason
+"""
+
+
 _STORED_SQL = f"""
 SELECT {key_sql(f"'{_LINK}' || n_chars || '?ref=' || doc_id")} AS job_id,
        '{_LINK}' || n_chars AS link, text AS description, 'old' AS vacancy_name,
@@ -396,5 +420,6 @@ QUERIES = {
     "availability_states": Bound(availability_states, AVAILABILITY_STATES_SQL),
     "availability_update": Bound(availability_update, AVAILABILITY_UPDATE_SQL),
     "offers_plan": Bound(offers_plan, OFFERS_PLAN_SQL),
+    "offers_quarantine": Bound(offers_quarantine, OFFERS_QUARANTINE_SQL),
     "title_extract": Bound(title_description_extract, TITLE_EXTRACT_SQL),
 }

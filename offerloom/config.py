@@ -25,6 +25,7 @@ class EngineConfig:
     embeddings: str = ""
     matches: str = ""
     reports: str = ""
+    quarantine: str = ""
     base_url: str = ""
     excluded_companies: tuple[str, ...] = ()
     unavailable_tags: tuple[str, ...] = ()

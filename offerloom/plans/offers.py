@@ -58,15 +58,26 @@ def split_unusable(raw: DataFrame, strict_dates: bool = False) -> tuple[DataFram
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def _aligned_raw(raw: DataFrame, key_on: str, strict_dates: bool) -> DataFrame:
-    """Raw rows with key and remote flag; missing columns become null."""
+def _raw_fields(raw: DataFrame) -> DataFrame:
+    """The fields of raw offers; missing columns become null."""
     present = set(raw.columns)
     cols = [
         (F.col(f.name) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in RAW_OFFERS.fields
     ]
+    return raw.select(*cols)
+
+
+def unusable_offers(raw: DataFrame, strict_dates: bool = False) -> DataFrame:
+    """``(reason, record)`` of the raw rows that ``build_offers`` cannot process."""
+    _, bad = split_unusable(_raw_fields(raw), strict_dates)
+    return bad.select("reason", F.to_json(F.struct(*RAW_OFFERS.fieldNames())).alias("record"))
+
+
+def _aligned_raw(raw: DataFrame, key_on: str, strict_dates: bool) -> DataFrame:
+    """Raw rows with key and remote flag; missing columns become null."""
     link = F.col("link") if key_on == "raw" else canonical_url(F.col("link"))
-    good, _ = split_unusable(raw.select(*cols), strict_dates)
+    good, _ = split_unusable(_raw_fields(raw), strict_dates)
     return good.select(
         *[F.col(f.name) for f in RAW_OFFERS.fields if f.name not in ("publication_date", _SCANNED)],
         parse_timestamp(F.col("publication_date"), strict_dates).alias("publication_date"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offerloom import schemas
 from offerloom.config import EngineConfig
@@ -12,11 +14,21 @@ from offerloom.operators.availability import expire_by_pages
 from offerloom.operators.embedding import ModelFactory
 from offerloom.plans.embed import embed_offers, embed_seekers
 from offerloom.plans.match import recommend
-from offerloom.plans.offers import build_offers
+from offerloom.plans.offers import build_offers, unusable_offers
 from offerloom.plans.report import READING_ORDER, report_lines, seeker_matches
-from offerloom.sources.records import read_records, read_skills, read_table
+from offerloom.sources.records import read_records, read_skills, read_table, split_unreadable
 from offerloom.sources.reports import write_reports
-from offerloom.sources.snapshots import read_latest, write_snapshot
+from offerloom.sources.snapshots import read_latest, replace_snapshot, write_snapshot
+
+
+def _set_aside(config: EngineConfig, day: date, parts: dict[str, list[DataFrame]]) -> dict[str, int]:
+    """Write ``(source, reason, record)`` of all parts as this day's quarantine; rows by reason."""
+    each = [p.select(F.lit(s).alias("source"), "reason", "record") for s, ps in parts.items() for p in ps]
+    rows = reduce(DataFrame.unionByName, each).persist()
+    replace_snapshot(rows, config.quarantine or f"{config.offers.rstrip('/')}_quarantine", day)
+    counts = rows.groupBy("source", "reason").count().collect()
+    rows.unpersist()
+    return {f"{r['source']}: {r['reason']}": r["count"] for r in counts}
 
 
 def run(
@@ -25,17 +37,42 @@ def run(
     as_of: datetime,
     factory: ModelFactory,
     lines: bool = False,
-) -> None:
+) -> dict[str, int]:
     """Run all stages; each hands a dated table to the next.
 
+    Unreadable records and unusable raw rows go to a dated quarantine table with their
+    reasons (``config.quarantine``, or a folder beside the offers); their numbers are returned.
     A stage that is run again for the same day replaces its own snapshot, so a run
     that broke off can be repeated.
     """
+    read = [
+        read_records(spark, path, schema, lines, keep_corrupt=True).persist()
+        for path, schema in ((config.seekers, schemas.SEEKERS), (config.raw_offers, schemas.RAW_OFFERS))
+    ]
+    try:
+        return _run(spark, config, as_of, factory, *read)
+    finally:
+        # Otherwise a repeated run would meet the old records.
+        for table in read:
+            table.unpersist()
+
+
+def _run(
+    spark: SparkSession,
+    config: EngineConfig,
+    as_of: datetime,
+    factory: ModelFactory,
+    read_seekers: DataFrame,
+    read_raw: DataFrame,
+) -> dict[str, int]:
     day = as_of.date()
-    seekers = read_records(spark, config.seekers, schemas.SEEKERS, lines)
+    (seekers, bad_seekers), (raw, bad_raw) = map(split_unreadable, (read_seekers, read_raw))
+    aside = _set_aside(
+        config, day, {"seekers": [bad_seekers], "raw_offers": [bad_raw, unusable_offers(raw)]}
+    )
 
     offers = build_offers(
-        read_records(spark, config.raw_offers, schemas.RAW_OFFERS, lines),
+        raw,
         read_latest(spark, config.offers, schemas.OFFERS),
         read_skills(spark, config.skills),
         as_of,
@@ -74,3 +111,4 @@ def run(
         users = spark.createDataFrame([(u,) for u in config.report_users], "user_id string")
         reports = report_lines(seeker_matches(matches, offers), users)
         write_reports(reports, config.reports, READING_ORDER)
+    return aside

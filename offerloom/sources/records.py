@@ -61,6 +61,19 @@ def read_records(
         raise
 
 
+def split_unreadable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable records of ``keep_corrupt``, and ``(reason, record)`` of the others.
+
+    A reader may check only the columns that a query asks for, so ``records`` should be
+    persisted: then all queries see the same rows as unreadable.
+    """
+    bad = records.where(F.col(CORRUPT).isNotNull())
+    return (
+        records.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
+        bad.select(F.lit("record unreadable").alias("reason"), F.col(CORRUPT).alias("record")),
+    )
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet table with a stated schema; a missing path gives an empty table."""
     try:

@@ -65,6 +65,11 @@ def write_snapshot(df: DataFrame, root: str, day: date) -> None:
     )
 
 
+def replace_snapshot(df: DataFrame, root: str, day: date) -> None:
+    """Like ``write_snapshot``, but no rows replace this date's rows as well."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{DATE_COL}={day.isoformat()}")
+
+
 def list_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     """``(path, length)`` of all files below ``root`` whose path ends in ``suffix``."""
     files = (

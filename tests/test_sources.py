@@ -353,3 +353,26 @@ def test_shared_dir_and_lineage(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().toString()
     assert empty(spark, schemas.SKILLS).columns == ["pos", "skill"]
+
+
+def test_pipeline_sets_unreadable_and_unusable_rows_aside(spark, tmp_path):
+    good = {"link": "https://x.io/1", "description": "python", "publication_date": "2024-03-09", "scraping_date": "2024-03-10"}
+    lines = [json.dumps(good), "{broken", json.dumps({**good, "link": None}), json.dumps({**good, "link": "https://x.io/2", "publication_date": "soon"})]
+    (tmp_path / "raw.json").write_text("\n".join(lines))
+    (tmp_path / "seekers.json").write_text('{"user_id": "u1"}\n{"user_id":')
+    (tmp_path / "skills.json").write_text('{"skills": ["python"]}')
+    config = EngineConfig(
+        **{name: str(tmp_path / name) for name in ("offers", "pages", "word_list", "embeddings", "matches", "reports", "quarantine")},
+        **{name: str(tmp_path / f"{file}.json") for name, file in (("raw_offers", "raw"), ("seekers", "seekers"), ("skills", "skills"))},
+    )
+    counts = pipeline.run(spark, config, datetime(2024, 3, 10, 9), hashing_factory(16), lines=True)
+    assert counts == {
+        "raw_offers: record unreadable": 1, "raw_offers: link missing": 1,
+        "raw_offers: publication_date unreadable": 1, "seekers: record unreadable": 1,
+    }
+    rows = spark.read.parquet(config.quarantine).where("snapshot_date = '2024-03-10'").collect()
+    assert len(rows) == 4 and {"{broken", '{"user_id":'} <= {r.record for r in rows}
+    (tmp_path / "raw.json").write_text(lines[0])
+    (tmp_path / "seekers.json").write_text('{"user_id": "u1"}')
+    assert pipeline.run(spark, config, datetime(2024, 3, 10, 9), hashing_factory(16), lines=True) == {}
+    assert spark.read.schema("record string").parquet(config.quarantine).count() == 0
