@@ -36,7 +36,8 @@ _EDGE = " \t\r\n\f\v\"'<>()[]{}|,;=:"
 
 SUPPORT = 3
 CONFIDENCE = 0.8
-ROUNDS = 3
+#: A bound that only an endless run reaches; rounds end when one accepts nothing.
+MOST_ROUNDS = 1000
 
 
 def luhn(digits: str) -> bool:
@@ -88,11 +89,14 @@ def _word(token: str) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the word before, two before, both sides."""
+    """Lexical patterns around a span: the word before, two before, both sides.
+
+    A span without a word before has the word after it as its pattern.
+    """
     left = [_word(w) for w in text[max(0, start - 80) : start].split()[-2:]]
     right = [_word(w) for w in text[end : end + 60].split()[:1]]
     if not left:
-        return []
+        return [f"* {w}" for w in right]
     found = [f"{left[-1]} *"]
     if len(left) == 2:
         found.append(f"{left[0]} {left[1]} *")
@@ -157,7 +161,7 @@ def find_mentions(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(find, f"doc_id long, mentions {_MENTIONS}")
 
 
-def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(graph: DataFrame) -> DataFrame:
     """``(instance, kind)`` accepted from ``graph`` with pattern, instance and base kind.
 
     Each round is written out, so that it starts from a table. A pattern of unusual
@@ -166,7 +170,7 @@ def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = staged(graph.select("pattern", "instance").distinct(), "pii-edges")
     seeds = graph.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     known = staged(seeds.withColumn("base", F.lit(True)), "pii-known")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         joined = edges.join(known, "instance", "left")
         totals = joined.groupBy("pattern").agg(
             F.count("*").alias("held"), *[F.count_if(F.col("kind") == k).alias(f"of_{k}") for k in range(len(KINDS))]
@@ -180,9 +184,9 @@ def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = new.groupBy("instance").agg(F.max(F.struct("sure", F.negate("found").alias("n"))).alias("m"))
         new = staged(new.select("instance", F.negate("m.n").cast("int").alias("kind"), F.lit(False).alias("base")), "pii-new")
         if new.isEmpty():
-            break
+            return known.where("not base").select("instance", F.col("kind").alias("found"))
         known = staged(known.unionByName(new), "pii-known")
-    return known.where("not base").select("instance", F.col("kind").alias("found"))
+    raise RuntimeError(f"identifiers are still being accepted after {MOST_ROUNDS} rounds")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -283,6 +283,24 @@ def test_contexts_find_new_identifiers(spark):
     assert got[99].n_phone == 0 and got[99].spans == "phone:19:30"
 
 
+def test_bootstrapping_ends_when_nothing_is_new(spark):
+    """Pattern r holds four to the power of 5 - r instances and those of the next one."""
+    groups, rows, low = [], [], 0
+    for r in range(6):
+        groups.append(range(low, low + 4 ** (5 - r)))
+        low += 4 ** (5 - r)
+    for r in range(5):
+        rows += [(f"p{r}", i, 3 if r == 0 and i in groups[0] else None) for i in [*groups[r], *groups[r + 1]]]
+    found = pii.bootstrap(spark.createDataFrame(rows, "pattern string, instance long, kind int")).collect()
+    assert sorted(r.instance for r in found) == [i for g in groups[1:] for i in g]
+
+
+def test_contexts_at_the_start_of_a_text(spark):
+    rows = [(i, f"+1 (555) 201-{1000 + i} reached us") for i in range(12)] + [(99, "77-88-99-00 reached us")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.personal_data(table).collect()}[99] == "phone:0:11"
+
+
 def test_vectors_with_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (50, [1.0, 0.5]), (100, [0.5, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]),
             (4, [0.0, 0.0]), (5, [1.0]), (6, []), (None, [1.0, 1.0]), (7, [0.9, 0.1]), (7, [0.9, 0.1])]
