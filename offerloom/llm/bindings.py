@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offerloom.bindings import Bound
-from offerloom.llm import common, exact_topk, mixing, nearest
+from offerloom.llm import common, content_sort, exact_topk, lookup_clusters, mixing, nearest
 
 
 def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,20 @@ def op9_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digest(spark, common.documents(spark, folder), path, keeps_spaces=True)
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup_clusters.cluster_vectors(common.embeddings(spark, folder), dim=64, scale=64, k=16, rounds=3)
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.copy_groups(common.documents(spark, folder))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from offerloom.llm.periodic_runs import run_digests
+
+    return run_digests(common.documents(spark, folder))
+
+
 QUERIES: dict[str, Bound] = {
     "op1_exact_topk": Bound(op1_exact_topk, exact_topk.ORACLE_SQL),
     "op2_source_mixing": Bound(op2_source_mixing, mixing.ORACLE_SQL),
@@ -77,4 +91,7 @@ QUERIES: dict[str, Bound] = {
     "op10_personal_data": Bound(op10_personal_data),
     "op8_nearest_neighbours": Bound(op8_nearest_neighbours, nearest.ORACLE_SQL),
     "op9_token_records": Bound(op9_token_records),
+    "op11_centroid_clustering": Bound(op11_centroid_clustering, lookup_clusters.ORACLE_SQL),
+    "op12_exact_dedup": Bound(op12_exact_dedup, content_sort.ORACLE_SQL),
+    "op13_periodic_runs": Bound(op13_periodic_runs),
 }
