@@ -183,6 +183,56 @@ WHERE coalesce(o.company <> 'MACHINERY', true) AND (s.english OR NOT o.is_englis
 """
 
 
+#: Pairs of one cell in ``rule_filter_skewed``; the result does not depend on it.
+_SKEW_CELL = 50_000
+
+
+def rule_filter_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as offers, suppliers as seekers, and one combination that most of both sides have."""
+    offers = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("job_id"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", "usual").otherwise(F.col("o_orderpriority")).alias("seniority"),
+        F.year("o_orderdate").cast("string").alias("location"),
+        F.lit("any").alias("work_modality_english"),
+        F.lit(True).alias("remote"),
+        F.lit(None).cast("string").alias("company"),
+        (F.col("o_orderstatus") == "P").alias("is_english"),
+    )
+    day = F.col("s_suppkey") % 20
+    seekers = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("user_id"),
+        F.array(F.when(day < 18, "usual").otherwise("1-URGENT")).alias("seniority"),
+        F.array(F.when(day < 17, "1995").otherwise((1992 + F.col("s_suppkey") % 7).cast("string"))).alias("location"),
+        F.array(F.lit("any")).alias("work_modality_english"),
+        F.array(F.lit("True")).alias("remote"),
+        F.when(F.col("s_nationkey") < 3, "True").otherwise("False").alias("english"),
+        F.lit("0.5").alias("role_weight"),
+        F.lit("0.5").alias("similarity_threshold"),
+    )
+    found = match_rules(offers, parse_seekers(seekers), broadcast_rows=0, cell_pairs=_SKEW_CELL)
+    job = F.col("job_id").cast("long")
+    return found.groupBy("user_id").agg(
+        F.count("*").alias("n_offers"), F.min(job).alias("first_job"), F.sum(job).alias("job_sum")
+    )
+
+
+RULE_FILTER_SKEWED_SQL = """
+WITH offers AS (
+  SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'usual' ELSE o_orderpriority END AS s,
+         year(o_orderdate) AS y, o_orderstatus = 'P' AS is_english
+  FROM orders
+), seekers AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 20 < 18 THEN 'usual' ELSE '1-URGENT' END AS s,
+         CASE WHEN s_suppkey % 20 < 17 THEN 1995 ELSE 1992 + s_suppkey % 7 END AS y, s_nationkey < 3 AS english
+  FROM supplier
+)
+SELECT s_suppkey::VARCHAR AS user_id, count(*) AS n_offers, min(o_orderkey) AS first_job, sum(o_orderkey)::BIGINT AS job_sum
+FROM offers o JOIN seekers k USING (s, y)
+WHERE english OR NOT is_english
+GROUP BY s_suppkey
+"""
+
+
 def _order_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as matches of their customers, joined back to themselves as offers."""
     orders = table(spark, folder, "orders")
@@ -349,6 +399,7 @@ QUERIES = {
     "pool_vectors": Bound(pool_vectors, POOL_VECTORS_SQL),
     "normalise_vectors": Bound(normalise_vectors, NORMALISE_VECTORS_SQL),
     "rule_filter": Bound(rule_filter, RULE_FILTER_SQL),
+    "rule_filter_skewed": Bound(rule_filter_skewed, RULE_FILTER_SKEWED_SQL),
     "ranked_matches": Bound(ranked_matches, RANKED_MATCHES_SQL),
     "report_rows": Bound(report_rows, REPORT_ROWS_SQL),
     "embed_new_offers": Bound(embed_new_offers, EMBED_NEW_OFFERS_SQL),

@@ -115,6 +115,13 @@ words AS (
 DICTIONARY_TAGS_LARGE_SQL = f"WITH {BENCHMARK_WORDS_SQL} {_TAGS_SQL}"
 
 
+def dictionary_tags_unbounded(spark: SparkSession, folder: str) -> DataFrame:
+    """The large dictionary on the route of one that no task could hold."""
+    documents = text_table(spark, folder, "documents").select("doc_id", "text")
+    words = benchmark_words(spark, folder)
+    return _joined_tags(with_tags(documents, "doc_id", "text", words, bounded_terms=0))
+
+
 def language_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Token and hit counts of every document, and whether a Spanish-only seeker sees it."""
     words = benchmark_words(spark, folder).select(F.col("skill").alias("word"))
@@ -268,6 +275,7 @@ QUERIES = {
     "keyword_flag": Bound(keyword_flag, KEYWORD_FLAG_SQL),
     "dictionary_tags": Bound(dictionary_tags, DICTIONARY_TAGS_SQL),
     "dictionary_tags_large": Bound(dictionary_tags_large, DICTIONARY_TAGS_LARGE_SQL),
+    "dictionary_tags_unbounded": Bound(dictionary_tags_unbounded, DICTIONARY_TAGS_LARGE_SQL),
     "language_gate": Bound(language_gate, LANGUAGE_GATE_SQL),
     "relative_dates": Bound(relative_dates, RELATIVE_DATES_SQL),
     "frontier_urls": Bound(frontier_urls, FRONTIER_URLS_SQL),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.text import parse_bool, parse_number
 from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.filters import not_listed
-from offerloom.operators.skew import salted_join
+from offerloom.operators.skew import CELL_PAIRS, CELL_ROWS, grid_join
 
 RULE_KEYS = ("seniority", "location", "work_modality_english", "remote", "in_english")
 # A criteria table up to this many narrow rows is sent to every task.
@@ -80,19 +80,22 @@ def match_rules(
     offers: DataFrame,
     profiles: DataFrame,
     excluded_companies: Sequence[str] = (),
-    rows_per_salt: int = 1_000_000,
+    broadcast_rows: int | None = None,
+    cell_pairs: int = CELL_PAIRS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``(user_id, job_id)`` for every pair that satisfies the seeker's rules.
 
-    ``offers`` carries ``is_english``. A bounded criteria table is broadcast and
-    offers are streamed past it; a larger one takes a salted shuffle join.
+    ``offers`` carries ``is_english``. A criteria table of up to ``broadcast_rows`` rows is
+    broadcast and offers are streamed past it; a larger one meets the offers in a grid join,
+    in which a combination that most offers have and most seekers accept is many tasks.
     """
     narrow = rule_offers(offers, excluded_companies)
     wanted = criteria(profiles)
     total = profiles.agg(F.coalesce(F.sum(criteria_rows()), F.lit(0))).first()[0]
-    if total <= BROADCAST_ROWS:
+    if total <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         side = wanted.select("user_id", *[F.col(k).alias(f"want_{k}") for k in RULE_KEYS])
         joined = narrow.join(F.broadcast(side), rule_condition(narrow, side, "want_"))
     else:
-        joined = salted_join(narrow, wanted, RULE_KEYS, "job_id", rows_per_salt)
+        joined = grid_join(narrow, wanted, RULE_KEYS, "job_id", "user_id", cell_pairs, cell_rows)
     return joined.select("user_id", "job_id")

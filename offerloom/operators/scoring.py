@@ -23,7 +23,7 @@ from offerloom.operators.rules import (
     rule_condition,
     rule_offers,
 )
-from offerloom.operators.skew import salted_join
+from offerloom.operators.skew import CELL_PAIRS, grid_join, key_sizes
 
 BLOCK = 256
 # Seekers whose criteria rows, vectors included, stay below this are broadcast.
@@ -168,7 +168,7 @@ def score_matches(
     """``(user_id, job_id, score)`` at or above each seeker's threshold.
 
     Seekers of a checked size are broadcast and offers stream past them. Otherwise
-    blocks meet in a salted shuffle join on the rule keys. An undefined score never
+    blocks meet in a grid join on the rule keys, which cuts hot ones on both sides. An undefined score never
     passes.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
@@ -207,13 +207,15 @@ def score_matches(
         side = right.withColumnsRenamed({k: f"want_{k}" for k in RULE_KEYS})
         joined = left.join(F.broadcast(side), rule_condition(left, side, "want_"))
     else:
-        joined = salted_join(
+        joined = grid_join(
             left,
             right,
             RULE_KEYS,
             "job_id",
+            "user_id",
+            CELL_PAIRS,
             OFFERS_PER_SALT if offers_per_salt is None else offers_per_salt,
-            narrow.groupBy(*RULE_KEYS).agg(F.count("*").alias("n")),
+            (key_sizes(narrow, RULE_KEYS), key_sizes(criteria(seekers), RULE_KEYS)),
         )
     pairs = joined.select(
         "job_id", "user_id", "role_weight", "similarity_threshold", "offer_role",

@@ -17,7 +17,8 @@ from offerloom.operators.language import english_flags
 from offerloom.operators.pooling import pool
 from offerloom.operators.ranking import row_number_in_groups
 from offerloom.operators.sizing import broadcast_if_small, fits, rows_if_small
-from offerloom.operators.skew import salted_join
+from offerloom.operators.membership import may_hold, member_bits, member_hash
+from offerloom.operators.skew import grid_cuts, grid_join, key_sizes, salted_join
 
 
 def rows(df):
@@ -213,3 +214,66 @@ def test_columns_by_type(spark):
     assert kinds == {
         "text": ["a"], "float": ["b"], "int": ["c"], "bool": ["d"], "date": ["e"], "other": ["f"]
     }
+
+
+@pytest.mark.parametrize("cell_pairs, cell_rows", [(1, 1), (30, 7), (100, 1_000), (10**6, 10**6)])
+def test_grid_join_equals_plain_join(spark, cell_pairs, cell_rows):
+    rng = random.Random(4)
+    keys = ["hot"] * 70 + ["warm"] * 9 + [None] * 12 + ["cold"]
+    left = spark.createDataFrame([(i, k, rng.choice("xy")) for i, k in enumerate(keys)], "id int, k string, m string")
+    right = spark.createDataFrame(
+        [(i, k, rng.choice("xy")) for i, k in enumerate(["hot"] * 40 + ["warm", None, None, "lost"])], "tag int, k string, m string"
+    )
+    got = grid_join(left, right, ["k", "m"], "id", "tag", cell_pairs, cell_rows).select("id", "k", "m", "tag")
+    plain = left.join(
+        right.withColumnsRenamed({"k": "k2", "m": "m2"}), F.expr("k <=> k2 and m <=> m2")
+    ).select("id", "k", "m", "tag")
+    assert rows(got) == rows(plain)
+
+
+def test_grid_cells_of_a_key_that_most_of_both_sides_have(spark):
+    """No cell gives more than about the stated pairs, and both sides are cut."""
+    left = spark.range(6_000).select(F.col("id").alias("l"), F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.range(3_000).select(F.col("id").alias("r"), F.when(F.col("id") % 10 < 8, 0).otherwise(-F.col("id")).alias("k"))
+    cuts = grid_cuts(key_sizes(left, ["k"]), key_sizes(right, ["k"]), ["k"], 10_000, 1_000_000).collect()
+    assert [(r.cut_rows, r.cut_columns) for r in cuts] == [(48, 24)]
+    joined = grid_join(left, right, ["k"], "l", "r", 10_000)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    spread = joined.groupBy(F.pmod(F.xxhash64("l"), F.lit(48)).alias("i"), F.pmod(F.xxhash64("r"), F.lit(24)).alias("j")).count().collect()
+    assert len(spread) == 48 * 24 and sum(r["count"] for r in spread) == 4_800 * 2_400
+    assert max(r["count"] for r in spread) < 40_000
+
+
+def test_member_bits(spark):
+    values = spark.createDataFrame([(f"word{i}",) for i in range(3_000)] + [(None,)], "w string")
+    bits = member_bits(values, "w")
+    held = values.where("w is not null").where(~may_hold(member_hash(F.col("w")), bits)).count()
+    others = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("w"))
+    assert held == 0 and others.where(may_hold(member_hash(F.col("w")), bits)).count() < 1_000
+    nothing = member_bits(values.where("w is null"), "w")
+    assert others.where(may_hold(member_hash(F.col("w")), nothing)).count() == 0
+
+
+def test_join_route_of_long_terms_and_texts(spark):
+    """Terms beyond the carried length, texts beyond a stretch, hits across stretches, repeated texts."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 700, 3_000)]
+    long = "x" * 10 + "y" * 80
+    texts += [texts[6], None, "q" * 250 + long + "tail", "x" * 10 + "y" * 70, "Ünï çödé " * 60, "İstanbul"]
+    terms = sorted({t[i : i + n] for t in texts[:8] for i in range(0, max(1, len(t) - 9), 97) for n in (1, 3, 6, 9)} | {long, "çödé ü", "nowhere", "i̇st"})
+    terms = [*terms, ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "pos bigint, skill string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.skills for r in tagging.with_tags(df, "id", "text", table, bounded_terms=0).collect()}
+    lowered = {r.id: r.low for r in df.select("id", F.lower("text").alias("low")).collect()}
+    assert got == {i: None if t is None else [s for s in terms if s in t] for i, t in lowered.items()}
+
+
+def test_anchors_leave_the_scan_near_to_the_hits(spark):
+    texts = spark.range(300).select(F.col("id").alias("key"), F.concat(F.repeat(F.lit("lorem ipsum dolor "), 40), F.lit("kubernetes")).alias("text"))
+    anchors = spark.createDataFrame([("kubern",), ("python",), ("postgr",)], "anchor string")
+    hits = tagging.anchor_hits(texts, anchors)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    # The filter's words are a constant by then, and nothing is shuffled before it.
+    assert "from_json" not in plan and "Exchange" not in plan and 300 <= hits.count() < 320
