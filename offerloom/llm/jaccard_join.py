@@ -88,8 +88,13 @@ def subset_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     return mixed(np.array(out, np.uint64))
 
 
+def row_key() -> Column:
+    """128 bits of a row's id and text. Rows that share it are equal in both."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def document_classes(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, class)`` of every row; class is null for an empty set."""
+    """``(doc_id, row, n, class)`` of every row; class is null for an empty set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +103,11 @@ def document_classes(docs: DataFrame, k: int) -> DataFrame:
                 own = pa.array([class_of(s) if len(s) else None for s in found], pa.int64())
                 sizes = pa.array([len(s) for s in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), sizes, own], names=["doc_id", "n", "class"]
+                    [part.column("doc_id"), part.column("row"), sizes, own], names=["doc_id", "row", "n", "class"]
                 )
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(signed, "doc_id long, n long, class long")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text")
+    return source.mapInArrow(signed, "doc_id long, row string, n long, class long")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame | None, k: int, first: Callable | None = None) -> DataFrame:
@@ -126,17 +131,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame | None, k: int, first: Callabl
                     [own, sizes, sets, part.column("rep_class")], names=["class", "n", "elements", "rep_class"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if wanted is None:
-        texts = texts.withColumn("rep_class", F.lit(None).cast("long"))
+        texts = docs.select("text", F.lit(None).cast("long").alias("rep_class"))
     else:
-        texts = texts.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("rep"))
+        texts = docs.select("text", row_key().alias("row"))
+        texts = texts.join(broadcast_if_small(wanted, text_cols=("rep",)), F.col("row") == F.col("rep"))
     found = texts.select("text", "rep_class").mapInArrow(
         signed, "class long, n long, elements array<long>, rep_class long"
     )
     if wanted is None:
         return found.where(F.col("class").isNotNull()).drop("rep_class")
-    # An id that stands on several texts brings them all; those of the class stay.
     return found.where(F.col("class") == F.col("rep_class")).drop("rep_class")
 
 
@@ -235,6 +239,23 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (den * m >= num * n) & (den * n >= num * m) & (seen <= most)
 
 
+def _unlike_lists(named: DataFrame) -> DataFrame:
+    """``key``: of lists that hold the same sets, the one with the first key.
+
+    Texts that share a passage share a list for each of its shingles; one of those tells all of
+    their pairs. Lists are compared by their sizes and two sums of hashes. Keys are ordered as
+    in ``earlier``, so the first common key of a pair is never passed over.
+    """
+    def total(seed: int) -> Column:
+        return F.sum(F.xxhash64("class", F.lit(seed)).cast("decimal(38,0)"))
+
+    lists = named.groupBy("key").agg(F.count("*").alias("sets"), total(1).alias("one"), total(2).alias("two"))
+    # Keys are unsigned numbers.
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+    firsts = lists.groupBy("sets", "one", "two").agg(F.min(F.struct(unsigned.alias("at"), "key")).alias("first"))
+    return firsts.select("first.key")
+
+
 def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``(a, b)`` between classes that give the components of all links."""
     dealt = entries.repartition("key")
@@ -256,6 +277,7 @@ def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_keys = open_keys.where(F.col("lo") < F.col("hi")).select("key")
     named = staged(named.join(open_keys, "key", "left_semi").dropDuplicates(["class", "key"]), "jaccard-open")
+    named = named.join(_unlike_lists(named), "key", "left_semi")
     other = named.select(*[F.col(c).alias(f"b_{c}") for c in named.columns])
     cross = named.join(
         other,
@@ -276,24 +298,18 @@ def _with_partner(classes: DataFrame, shared: DataFrame, num: int, den: int) ->
     counted = shared.groupBy("class").agg(F.count_distinct("key").alias("held")).withColumnRenamed("class", "own")
     least = F.ceil(F.col("n") * num / den)
     p, least_p = F.col("n") - least + 1, least - F.ceil(least * num / den) + 1
-    wanted = classes.where(F.col("rep").isNotNull()).join(counted, F.col("class") == F.col("own"))
+    wanted = classes.join(counted, F.col("class") == F.col("own"))
     wanted = wanted.where(F.col("held") >= 1 + F.least(p, F.col("n") - p, 2 * least_p - 1))
     return staged(wanted.select("rep", F.col("class").alias("rep_class")), "jaccard-wanted")
 
 
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row.
-
-    Rows link when ``den * |A and B| >= num * |A or B|`` of their sets of ``k``-word
-    shingles; a text of fewer words is one shingle. A null text and a text without words
-    have an empty set and link with nothing. ``component_id`` is the smallest doc_id
-    reachable, a null one only where no other is. Repeated rows are copies of each other.
-    Other columns are ignored; an empty table gives no rows. Shingles and equal sets are
-    compared by 64-bit hashes.
-    """
+def row_groups(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, row, n, class)`` of every row, and ``(class, least, root)`` of the classes that
+    have several rows or links: ``root`` names the component, ``least`` the smallest doc_id of
+    the class."""
     rows = staged(document_classes(docs, k), "jaccard-rows")
     classes = rows.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")
+        F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n")
     )
     classes = staged(classes, "jaccard-classes")
     none = np.zeros(0, np.uint64)
@@ -319,12 +335,25 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     sets = staged(class_sets(docs, wanted, k), "jaccard-sets")
     listed = list_entries(sets, moved, num, den, light)
     roots = staged(components(links(sets, listed, num, den)), "jaccard-roots")
-    joined = classes.select("class", "rep", "copies").join(
+    joined = classes.select("class", "least", "copies").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left"
     )
     grouped = joined.where((F.col("copies") > 1) | F.col("root").isNotNull())
-    grouped = staged(grouped.select("class", "rep", F.coalesce("root", "class").alias("root")), "jaccard-groups")
-    firsts = grouped.groupBy("root").agg(F.min("rep").alias("first"))
+    return rows, staged(grouped.select("class", "least", F.coalesce("root", "class").alias("root")), "jaccard-groups")
+
+
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row.
+
+    Rows link when ``den * |A and B| >= num * |A or B|`` of their sets of ``k``-word
+    shingles; a text of fewer words is one shingle. A null text and a text without words
+    have an empty set and link with nothing. ``component_id`` is the smallest doc_id
+    reachable, a null one only where no other is. Repeated rows are copies of each other.
+    Other columns are ignored; an empty table gives no rows. Shingles and equal sets are
+    compared by 64-bit hashes.
+    """
+    rows, grouped = row_groups(docs, k, num, den)
+    firsts = grouped.groupBy("root").agg(F.min("least").alias("first"))
     answer = grouped.join(firsts, "root").select("class", "first")
     return rows.join(broadcast_if_small(staged(answer, "jaccard-answer")), "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")
@@ -332,11 +361,24 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller doc_id.
+    """One row of ``docs`` for each group of near duplicates, and all rows of no group.
 
-    Rows with a null doc_id stay. Rows that repeat the kept doc_id stay as well.
+    Of a group the row with the smallest doc_id stays, a null one only where no other is; of
+    rows that share that id one text's, and of equal rows one. Whether a row goes depends on
+    its own text, never on others that share its id. Columns may have any names.
     """
-    found = jaccard_components(docs, k, num, den)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = broadcast_if_small(staged(gone, "jaccard-gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows, grouped = row_groups(docs, k, num, den)
+    members = rows.join(broadcast_if_small(grouped.select("class", "root")), "class").select("doc_id", "row", "root")
+    members = staged(members, "jaccard-members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = members.groupBy("root").agg(F.min(order).alias("first")).select("first.row").withColumn("stays", F.lit(True))
+    each = members.groupBy("row").agg(F.count("*").alias("equal")).join(kept, "row", "left")
+    # Marked are rows that go, and those that stay once.
+    marks = each.where(F.col("stays").isNull() | (F.col("equal") > 1))
+    marks = staged(marks.select(F.col("row").alias("own_row"), F.coalesce("stays", F.lit(False)).alias("stays")), "jaccard-marks")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key().alias("row"))
+    found = whole.join(broadcast_if_small(marks, text_cols=("own_row",)), F.col("row") == F.col("own_row"), "left")
+    out = found.where("own_row is null").select("whole.*")
+    if marks.where("stays").isEmpty():
+        return out
+    return out.unionByName(found.where("stays").dropDuplicates(["row"]).select("whole.*"))

@@ -191,3 +191,71 @@ def test_runs_of_awkward_rows(spark):
     assert [r for r in got if r[0] != 7] == [r for r in expected if r[0] != 7]
     assert [r[1] for r in got if r[0] == 7] == [1]
     assert periodic_runs.run_digests(table.limit(0)).count() == 0
+
+
+ALONE = "nothing like the others in this table here"
+A = " ".join(f"a{i}" for i in range(60))
+NEAR = " ".join(f"a{i}" for i in range(4, 60))
+B = " ".join(f"a{i}" for i in range(8, 60))
+
+
+def kept(spark, rows):
+    from offerloom.llm import jaccard_join
+
+    names = "doc_id long, text string, row long, whole long, stays long, own_row long, gone_id long, `class` long"
+    table = spark.createDataFrame([(*r, *[7] * 6) for r in rows], names)
+    found = jaccard_join.one_of_each_group(table)
+    assert found.columns == table.columns
+    out = found.collect()
+    assert all(tuple(r)[2:] == (7,) * 6 for r in out)
+    return sorted(((r.doc_id, r.text) for r in out), key=repr)
+
+
+def test_groups_keep_one_row_and_lose_no_other(spark):
+    assert kept(spark, [(1, A), (2, A), (2, ALONE)]) == [(1, A), (2, ALONE)]
+    assert kept(spark, [(5, A), (5, A), (None, A), (None, A)]) == [(5, A)]
+    assert kept(spark, [(None, A), (None, A), (None, None), (None, None), (3, ""), (3, "")]) == [
+        (3, ""), (3, ""), (None, A), (None, None), (None, None)]
+    assert len(kept(spark, [(4, A), (4, NEAR), (4, ALONE), (4, ALONE)])) == 2
+    assert kept(spark, []) == []
+
+
+@pytest.mark.parametrize("middle", [3, None])
+def test_links_through_a_null_id(spark, middle):
+    from offerloom.llm import jaccard_join
+
+    table = spark.createDataFrame([(1, A), (middle, NEAR), (2, B)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table, 4, 85, 100).collect()}
+    assert got == {1: 1, middle: 1, 2: 1}
+
+
+def test_families_under_one_passage(spark):
+    """Many families of near copies that share a passage: all pairs, and few rows told twice."""
+    from offerloom.llm import jaccard_join
+
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for f in range(40):
+        own = [f"f{f}w{rng.randint(0, 400)}" for _ in range(rng.choice([30, 90, 400]))]
+        for m in range(3):
+            words = passage + own
+            for _ in range(rng.randint(0, 12)):
+                words[rng.randrange(len(words))] = f"e{f}{m}{rng.random()}"
+            rows.append((10 * f + m, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table, 4, 85, 100).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(sets)
