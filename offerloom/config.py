@@ -21,6 +21,7 @@ class EngineConfig:
     skills: str = ""
     keywords: str = ""
     pages: str = ""
+    crawled: str = ""
     word_list: str = ""
     embeddings: str = ""
     matches: str = ""

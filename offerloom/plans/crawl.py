@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.dates import as_of_column, day_text
@@ -13,6 +13,7 @@ from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.html import detail_rows, listing_links
 from offerloom.operators.sizing import broadcast_if_small
 from offerloom.schemas import RAW_OFFERS
+from offerloom.sources.versions import append_records, read_entries
 
 
 def frontier(
@@ -79,3 +80,13 @@ def crawl(
         }
     )
     return rows.select(*RAW_OFFERS.fieldNames())
+
+
+def store_crawl(rows: DataFrame, root: str, day: date) -> int:
+    """Add a day's raw offers to the versioned table at ``root``; a rerun replaces the day."""
+    return append_records(rows.select(*RAW_OFFERS.fieldNames()), root, day.isoformat())
+
+
+def stored_offers(spark: SparkSession, root: str) -> DataFrame:
+    """Raw offers of all crawls so far, as of the newest version."""
+    return read_entries(spark, root, RAW_OFFERS)

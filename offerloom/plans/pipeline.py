@@ -1,4 +1,4 @@
-"""The whole run: offers, expiry, embeddings, matches, reports."""
+"""The whole run: crawl, offers, expiry, embeddings, matches, reports."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from offerloom import schemas
 from offerloom.config import EngineConfig
 from offerloom.operators.availability import expire_by_pages
 from offerloom.operators.embedding import ModelFactory
+from offerloom.plans.crawl import crawl, frontier, store_crawl, stored_offers
 from offerloom.plans.embed import embed_offers, embed_seekers
 from offerloom.plans.match import recommend
 from offerloom.plans.offers import build_offers, unusable_offers
@@ -40,6 +41,9 @@ def run(
 ) -> dict[str, int]:
     """Run all stages; each hands a dated table to the next.
 
+    Where ``config.crawled`` names a table, the offers found on captured pages for
+    ``config.keywords`` are stored there under their day, and all stored ones are raw offers.
+
     Unreadable records and unusable raw rows go to a dated quarantine table with their
     reasons (``config.quarantine``, or a folder beside the offers); their numbers are returned.
     A stage that is run again for the same day replaces its own snapshot, so a run
@@ -67,6 +71,12 @@ def _run(
 ) -> dict[str, int]:
     day = as_of.date()
     (seekers, bad_seekers), (raw, bad_raw) = map(split_unreadable, (read_seekers, read_raw))
+    if config.crawled:
+        if config.keywords:
+            captured = read_table(spark, config.pages, schemas.PAGES)
+            keywords = read_records(spark, config.keywords, schemas.KEYWORDS)
+            store_crawl(crawl(captured, frontier(keywords, config.base_url), as_of), config.crawled, day)
+        raw = raw.unionByName(stored_offers(spark, config.crawled))
     aside = _set_aside(
         config, day, {"seekers": [bad_seekers], "raw_offers": [bad_raw, unusable_offers(raw)]}
     )

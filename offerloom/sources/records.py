@@ -94,11 +94,6 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    """Add rows to a Parquet table laid out by scraping date."""
-    df.write.mode("append").partitionBy("scraping_date").parquet(path)
-
-
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """Skill dictionary as ``(pos, skill)`` from either on-disk shape.
 

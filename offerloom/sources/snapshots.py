@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerloom.sources.records import read_table
+from offerloom.sources.listing import names_in
+from offerloom.sources.records import empty, read_table
 
 DATE_COL = "snapshot_date"
 
@@ -27,8 +29,8 @@ def latest_day(df: DataFrame, name_col: str = DATE_COL) -> DataFrame:
 def latest_rows(df: DataFrame, name_col: str = DATE_COL) -> DataFrame:
     """Rows of the newest valid snapshot.
 
-    The date is a scalar subquery: on a partition column it prunes the scan to one
-    folder before any data file is opened.
+    For tables whose snapshots are no folders: the date takes a pass over ``name_col``, the
+    rows another. ``read_latest`` only lists folders.
     """
     newest = F.date_format(latest_day(df, name_col).scalar(), "yyyy-MM-dd")
     return df.where(F.col(name_col) == newest)
@@ -49,9 +51,23 @@ def read_snapshots(spark: SparkSession, root: str, schema: T.StructType) -> Data
     return read_table(spark, root, _with_name(schema))
 
 
+def latest_folder(spark: SparkSession, root: str) -> str | None:
+    """The folder of the newest valid snapshot, from a listing alone; none before the first run."""
+    days = []
+    for name in names_in(spark, root):
+        key, _, day = name.partition("=")
+        if key == DATE_COL and re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
+            try:
+                days.append(date.fromisoformat(day))
+            except ValueError:
+                continue
+    return f"{root.rstrip('/')}/{DATE_COL}={max(days).isoformat()}" if days else None
+
+
 def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The newest snapshot in ``schema``, empty before the first run."""
-    return latest_rows(read_snapshots(spark, root, schema)).drop(DATE_COL)
+    """The newest snapshot in ``schema``, empty before the first run; no other one is opened."""
+    folder = latest_folder(spark, root)
+    return empty(spark, schema) if folder is None else read_table(spark, folder, schema)
 
 
 def write_snapshot(df: DataFrame, root: str, day: date) -> None:
