@@ -199,15 +199,18 @@ def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     A null text, a text without a letter, or no model gives ``und`` and 0. Columns of
     these names are replaced; all others pass through unchanged.
     """
-    docs = docs.drop("lang_pred", "lang_score", "has_letter")
-    docs = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop("lang_pred", "lang_score")
+    flag = "has_letter"
+    while flag in docs.columns:
+        flag = f"_{flag}"
+    docs = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *added])
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                known = part.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
+                known = part.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                 names, scores = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
                 if model is not None and part.num_rows:
                     found, odds = model.predict(part.column("text"))
@@ -217,7 +220,7 @@ def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     names=[*part.schema.names, "lang_pred", "lang_score"],
                 )
 
-    return docs.mapInArrow(guess, schema).drop("has_letter")
+    return docs.mapInArrow(guess, schema).drop(flag)
 
 
 def language_answers(docs: DataFrame) -> DataFrame:

@@ -156,13 +156,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents stay whole: the one in which a budget ends is kept if at least half of it
     belongs to the budget.
     """
-    names = docs.columns
     narrow = staged(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-rows")
-    rows = _planned(_sized(docs), narrow)
+    # The caller's columns travel as one, so that their names meet none of those used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row")
+    rows = _planned(_sized(docs.select("doc_id", "text", "source", whole)), narrow)
     nearer = (F.col("mix_order") == F.col("cut")) & (2 * F.col("cut_words") >= F.col("mix_size"))
     once = F.coalesce((F.col("mix_order") < F.col("cut")) | nearer, F.lit(False))
     copies = (F.col("epochs") + once.cast("bigint")).cast("int")
-    return rows.where(copies > 0).select(*names, F.explode(F.sequence(F.lit(1), copies)).alias("mix_copy")).select(*names)
+    return rows.where(copies > 0).select("mix_row", F.explode(F.sequence(F.lit(1), copies)).alias("mix_copy")).select("mix_row.*")
 
 
 ORACLE_SQL = r"""

@@ -259,3 +259,31 @@ def test_families_under_one_passage(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table, 4, 85, 100).collect()}
     assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(sets)
+
+
+def test_internal_names_as_columns(spark):
+    """Columns named like those used inside pass through mixing, line dedup and language."""
+    from offerloom.llm import language_id, line_dedup, mixing
+
+    names = ("target epochs cut source_size mix_source mix_size mix_key mix_order mix_row mix_copy gone own_row own_key lines whole "
+             "has_letter row pos h norm sim first copies root part").split()
+    rows = [(i, "a line of words that repeats\nand line %d" % i, "s", *[100 + i] * len(names)) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+
+    def carried(df):
+        return [n for n in names if any(r[n] != 100 + r.doc_id for r in df.collect())]
+
+    assert carried(mixing.mixed_documents(table)) == [] and mixing.mixed_documents(table).columns == table.columns
+    cleaned = line_dedup.without_repeated_lines(table)
+    assert carried(cleaned) == [] and sum(r.n_dropped for r in cleaned.collect()) >= 5
+    found = language_id.with_language(table, None)
+    assert carried(found) == [] and found.columns == [*table.columns, "lang_pred", "lang_score"]
+
+
+def test_many_lines_of_one_text(spark):
+    from offerloom.llm import line_dedup
+
+    lines = [hashlib.sha256(str(i % 3_000).encode()).hexdigest() for i in range(6_000)]
+    table = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = line_dedup.without_repeated_lines(table).collect()[0]
+    assert (got.n_lines, got.n_dropped) == (6_000, 3_000) and got.text.split("\n") == lines[:3_000]
