@@ -2,8 +2,9 @@
 
 A text is cut at its spaces. Both public tokenizers cut a text into pieces before
 they look at it, and no piece reaches over a cut made there, so a chunk has the same
-ids alone as inside its text. Equal chunks of a batch are encoded once, and a bounded
-memo keeps them for later batches.
+ids alone as inside its text. Equal chunks of a batch are encoded once, and a memo of
+bounded entries and lengths keeps them for later batches. Markers such as ``<|endoftext|>``
+get the ids that the library gives them; they hold no spaces and take none with them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 # Marks that form one piece of their own after a word; the apostrophe may not.
 _TAIL = ".,!?;:|&$%*#@+-=_/()<>"
 MEMO_ENTRIES = 600_000
+#: Longer chunks are encoded anew in every batch.
+MEMO_CHARS = 256
 BATCH_BYTES = 6 << 20
 
 
@@ -34,7 +37,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.keeps_spaces = keeps_spaces
@@ -70,9 +72,12 @@ class ChunkEncoder:
                     ids = memo[core] = array("H", [t.id for t in found]).tobytes()
                 if len(core) < len(chunk):
                     tail = chunk[len(core) :]
-                    if tail not in tails:
-                        tails[tail] = self.plain(tail).tobytes()
-                    memo[chunk] = ids + tails[tail]
+                    known = tails.get(tail)
+                    if known is None:
+                        known = self.plain(tail).tobytes()
+                        if len(tail) <= MEMO_CHARS:
+                            tails[tail] = known
+                    memo[chunk] = ids + known
             else:
                 memo[chunk] = self.plain(" " + chunk if self.keeps_spaces else chunk).tobytes()
 
@@ -101,6 +106,10 @@ class ChunkEncoder:
                 new = words
             self._learn(new)
             blobs = [self.memo[w] if blob is None else blob for w, blob in zip(words, blobs)]
+            for word in new:
+                if len(word) > MEMO_CHARS:
+                    self.memo.pop(word, None)
+                    self.memo.pop(word.rstrip(_TAIL), None)
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2
         pool = np.frombuffer(b"".join(blobs), np.uint16)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes

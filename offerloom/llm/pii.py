@@ -27,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _EMAIL_AT = re.compile("@" + _DOMAIN)
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match takes whole runs of digits, so none starts inside a run: no run is read twice from within.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -68,7 +69,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` sorted; kinds as numbers in ``KINDS``."""
     found = [(a, 0, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = "".join(_DIGITS.findall(m.group()))

@@ -54,12 +54,17 @@ def test_sql(spark, name):
 @pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_give_the_library_ids(name, spaces):
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    texts = ["", " ", "  ", "a  b", "a   b  c ", "a\n \nb", "It's o'k", "<|endoftext|> x", "\x01 \x1c a", "Σας ΑΣ Σ", "é ́", None, "9\r\n z—1"]
+    texts = ["", " ", "  ", "a  b", "a   b  c ", "a\n \nb", "It's o'k", "<|endoftext|> x", "a <|endoftext|>", "it<|endoftext|>'s <|startoftext|>. b",
+             "a  <|endoftext|>  b", " <|endoftext|> ", "x" * 3000 + "=" * 400 + " b", "\x01 \x1c a", "Σας ΑΣ Σ", "é ́", None, "9\r\n z—1"]
     tool = encode.ChunkEncoder(common.tokenizer_path(name), spaces, memo_entries=5)
-    ids, bounds = tool.encode(pa.array(texts))
-    for i, text in enumerate(texts):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == tool.tokenizer.encode(text or "", add_special_tokens=False).ids
+    own = Tokenizer.from_file(common.tokenizer_path(name))
+    for _ in range(2):
+        ids, bounds = tool.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == own.encode(text or "", add_special_tokens=False).ids
+    assert max(map(len, tool.memo)) <= encode.MEMO_CHARS
 
 
 def test_token_files_round_trip(spark, docs, odd, empty):
@@ -284,9 +289,12 @@ def base(text):
 
 
 def test_base_spans(spark, docs, odd, empty):
-    tricky = ["a@b.c@d.e", "x" * 9000 + "@y.z", "a@b@c.de.", "..@a.b", "4111 1111 1111 1111", "+1 (274) 555-9629 1.2.3.4.5", "@", "é@a.b a@é.b"]
+    tricky = ["a@b.c@d.e", "x" * 9000 + "@y.z", "a@b@c.de.", "..@a.b", "4111 1111 1111 1111", "+1 (274) 555-9629 1.2.3.4.5", "@", "é@a.b a@é.b",
+              "1.2.3.4", "1.2.3", "a1.2.3.4b 300.1.1.1.1.1.1.1", "000255.01.0.00 1..2.3.4.5.6", "1.2.3.4.5.6.7.8.9", "٣1.2.3.4"]
     for text in [*docs.values(), *tricky]:
         assert pii.base_spans(text) == base(text)
+    assert pii.base_spans("7" * 1_000_000) == [] and pii.base_spans("1.2." + "9" * 9_000 + ".3") == []
+    assert pii.base_spans("1.2." + "0" * 9_000 + "9.3") == [(0, 1, 9_007)]
     assert pii.personal_data(odd).count() == 11 and pii.personal_data(empty).count() == 0
     one = [r for r in pii.personal_data(odd).collect() if r.doc_id is None][0]
     assert one.n_email == 1 and one.base_sha256 == hashlib.sha256(one.spans.encode()).hexdigest()
