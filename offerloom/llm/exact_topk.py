@@ -1,124 +1,91 @@
 """Exact top-k search by a vector-approximation file.
 
-Components become integers, integers become cells of ``2 ** CELL_BITS``. A scan over the
-cells gives a lower bound of every score; the k-th best lower bound of a query is a
-threshold for all rows. A second pass visits, per block, the rows whose upper bound
-reaches the threshold, best bound first, reads their exact vectors and stops when the
-k-th result is certain. All bounds and scores are whole numbers.
+Components become integers, integers become cells: a row drops as many low bits as make
+its cells fit a byte. The file of cells is scanned for lower bounds of all scores; the k-th
+best one of a query is a threshold for all rows. A second scan finds the rows whose upper
+bound reaches a threshold, and only those are read as exact vectors, which are scored best
+bound first until the k-th result is certain. Scores are summed in 64-bit integers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import staged
-from offerloom.llm.vectors import (
-    BLOCK_ROWS, GROUP_ROWS, Heaps, best, first_of_each, met, pack, usable,
-)
+from offerloom.llm.vectors import Heaps, bounded_search, matrix, usable
 
 SCALE = 256
-CELL_BITS = 4
+#: Bits of a cell's number, its sign included.
+CELL_BITS = 8
 QUERY_EVERY = 50
 K = 5
 CHUNK = 32
+#: Products of doubles are off by far less than this share of the largest terms.
+ROUNDING = 2.0**-40
 
 
 def _whole(data: np.ndarray) -> np.ndarray:
-    """floor(SCALE * x); sums of products must stay below 2 ** 53 to be exact."""
+    """floor(SCALE * x) as doubles."""
     return np.floor(SCALE * data)
 
 
-def _cells(data: np.ndarray) -> np.ndarray:
-    return np.floor(data / (1 << CELL_BITS))
-
-
-def _slack(queries: np.ndarray, negative: bool) -> np.ndarray:
-    part = np.minimum(queries, 0) if negative else np.maximum(queries, 0)
-    return part.sum(axis=1) * ((1 << CELL_BITS) - 1)
-
-
-def _matrix(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float32).astype(np.float64).reshape(-1, dim)
-
-
-def thresholds(pairs: DataFrame, k: int) -> DataFrame:
-    """``(id, bound)``: each query's k-th best lower bound over all rows, from cells alone."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, kept = None, None, None
-
-        def rows():
-            full = kept > -np.inf
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, full.sum(axis=1))), pa.array(kept[full])], names=["id", "bound"]
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if row["group"] != group:
-                    if group is not None:
-                        yield rows()
-                    group, ids = row["group"], np.frombuffer(row["q_ids"], np.int64)
-                    queries = _matrix(row["q_data"], dim)
-                    low, kept = _slack(queries, True)[:, None], np.full((len(ids), k), -np.inf)
-                floor = _cells(_matrix(row["data"], dim)) * (1 << CELL_BITS)
-                lower = queries @ floor.T + low
-                lower[ids[:, None] == np.frombuffer(row["ids"], np.int64)[None]] = -np.inf
-                both = np.concatenate([kept, lower], axis=1)
-                kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        if group is not None:
-            yield rows()
-
-    found = pairs.mapInArrow(scan, "id long, bound double")
-    lists = F.slice(F.sort_array(F.collect_list("bound"), asc=False), 1, k)
-    # With fewer than k rows in all, every row stays a candidate.
-    return found.groupBy("id").agg(lists.alias("top")).select(
-        "id", F.when(F.size("top") == k, F.array_min("top")).otherwise(float("-inf")).alias("bound")
-    )
-
-
-def refined(pairs: DataFrame, k: int) -> DataFrame:
-    """Best rows of each query and task, from exact vectors in the order of upper bounds."""
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, heaps = None, None, None
-
-        def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in heaps.rows(ids)], names=["query_id", "vec_id", "score"]
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if row["group"] != group:
-                    if group is not None:
-                        yield rows()
-                    group, ids = row["group"], np.frombuffer(row["q_ids"], np.int64)
-                    queries, high = _matrix(row["q_data"], dim), 0
-                    high = _slack(queries, False)[:, None]
-                    heaps = Heaps(len(ids), k, np.frombuffer(row["q_bounds"], np.float64))
-                exact, own = _matrix(row["data"], dim), np.frombuffer(row["ids"], np.int64)
-                upper = queries @ (_cells(exact) * (1 << CELL_BITS)).T + high
-                upper[ids[:, None] == own[None]] = -np.inf
-                for q in np.flatnonzero((upper >= heaps.kth()[:, None]).any(axis=1)):
-                    places = np.flatnonzero((upper[q] >= heaps.kth()[q]) & (upper[q] > -np.inf))
-                    places = places[np.argsort(-upper[q][places], kind="stable")]
-                    for at in range(0, len(places), CHUNK):
-                        part = places[at : at + CHUNK]
-                        if upper[q][part[0]] < heaps.kth()[q]:
-                            break
-                        heaps.add(q, own[part], exact[part] @ queries[q])
-        if group is not None:
-            yield rows()
-
-    return pairs.mapInArrow(refine, "query_id long, vec_id long, score double")
+class Cells:
+    """Blocks as one number of dropped bits a row and one byte a component."""
+
+    def __init__(self, queries: np.ndarray):
+        self.queries = _whole(queries)
+        self.most, self.least = np.maximum(self.queries, 0).sum(axis=1), np.minimum(self.queries, 0).sum(axis=1)
+        self.size = np.abs(self.queries).sum(axis=1)
+
+    @staticmethod
+    def code(data: np.ndarray) -> bytes:
+        whole = _whole(data)
+        _, bits = np.frexp(np.abs(whole).max(axis=1) + 1)
+        drop = np.maximum(bits - (CELL_BITS - 1), 0)
+        cells = np.floor(whole / np.exp2(drop)[:, None]).clip(-128, 127).astype(np.int8)
+        return np.int64(len(whole)).tobytes() + drop.astype(np.int16).tobytes() + cells.tobytes()
+
+    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        width = np.exp2(np.frombuffer(data, np.int16, n, 8).astype(np.float64))
+        floor = np.frombuffer(data, np.int8, -1, 8 + 2 * n).reshape(n, -1) * width[:, None]
+        about = self.queries @ floor.T
+        error = ROUNDING * np.multiply.outer(self.size, np.abs(floor).max(axis=1) + width)
+        above = width - 1
+        lower = about + np.multiply.outer(self.least, above) - error
+        return lower, about + np.multiply.outer(self.most, above) + error
+
+
+def in_bound_order(k: int):
+    """Visitors that score rows of exact vectors, best upper bound first."""
+
+    class InBoundOrder:
+        def __init__(self, group, ids, queries, bounds):
+            self.ids, self.codec = ids, Cells(queries)
+            self.heaps = Heaps(len(ids), k, bounds, np.int64)
+
+        def add(self, own, data):
+            block = matrix(data, self.codec.queries.shape[1])
+            _, upper = self.codec.bounds(Cells.code(block))
+            upper[self.ids[:, None] == own[None]] = -np.inf
+            exact = _whole(block)
+            if self.codec.size.max() * np.abs(exact).max() >= 2.0**62:
+                raise OverflowError("scores do not fit 64 bits")
+            exact, queries = exact.astype(np.int64), self.codec.queries.astype(np.int64)
+            for q in np.flatnonzero((upper >= self.heaps.kth()[:, None]).any(axis=1)):
+                places = np.flatnonzero((upper[q] >= self.heaps.kth()[q]) & (upper[q] > -np.inf))
+                places = places[np.argsort(-upper[q][places], kind="stable")]
+                for at in range(0, len(places), CHUNK):
+                    part = places[at : at + CHUNK]
+                    if upper[q][part[0]] < self.heaps.kth()[q]:
+                        break
+                    self.heaps.add(q, own[part], exact[part] @ queries[q])
+
+        def rows(self):
+            return self.heaps.rows(self.ids)
+
+    return InBoundOrder
 
 
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -127,17 +94,11 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFram
     Null vectors and vectors with null or non-finite components take no part; rows of
     another dimension do not meet. A query's own id is no result. Rows that repeat an id
     are results of their own; queries that repeat one count once. Ties go to the
-    smaller id. Fewer than ``k`` candidates are all returned.
+    smaller id. Fewer than ``k`` candidates are all returned. Scores that may not fit 64
+    bits are an error.
     """
     good, asked = vectors.where(usable("vec", False)), queries.where(usable("vec", False))
-    blocks = staged(pack(good, BLOCK_ROWS, "float32", _whole), "va-blocks")
-    asked = staged(first_of_each(asked), "va-queries")
-    bounds = thresholds(met(blocks, pack(asked, GROUP_ROWS, "float32", _whole)).sortWithinPartitions("group"), k)
-    bounds = staged(bounds, "va-thresholds")
-    armed = asked.join(bounds, "id")
-    pairs = met(blocks, staged(pack(armed, GROUP_ROWS, "float32", _whole), "va-groups"))
-    found = refined(pairs.sortWithinPartitions("group"), k)
-    return best(found, k).withColumn("score", F.col("score").cast("long"))
+    return bounded_search(good, asked, k, Cells, in_bound_order(k), "long")
 
 
 def self_search(table: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame:

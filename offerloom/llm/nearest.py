@@ -2,22 +2,19 @@
 
 Each vector is stored as one scale and int8 components. The product of two tiles gives
 approximate scores; by the triangle inequality the error is at most a sum of three norm
-products, which gives every pair a lower and an upper bound. Pairs whose upper bound
-reaches the k-th best lower bound seen so far survive and are recomputed in double
-precision from the original vectors; heaps merge them. The result is exact.
+products, which gives every pair a lower and an upper bound. Tiles alone are joined: first
+for each query's k-th best lower bound, then for the rows whose upper bound reaches it.
+Original vectors are read for those rows only; surviving pairs are recomputed in double
+precision and merged by heaps. The result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import staged
-from offerloom.llm.vectors import BLOCK_ROWS, GROUP_ROWS, Heaps, best, first_of_each, met, pack, usable
+from offerloom.llm.vectors import Heaps, bounded_search, matrix, usable
 
 QUERY_EVERY = 20
 K = 20
@@ -37,6 +34,18 @@ class Tile:
         lost = data - shown
         self.lost = np.sqrt((lost * lost).sum(axis=1))
 
+    def bytes(self) -> bytes:
+        return np.int64(len(self.whole)).tobytes() + b"".join(
+            x.tobytes() for x in (self.scale, self.shown, self.lost, self.whole)
+        )
+
+    @classmethod
+    def read(cls, blob: bytes) -> Tile:
+        tile, n = cls.__new__(cls), int(np.frombuffer(blob, np.int64, 1)[0])
+        tile.scale, tile.shown, tile.lost = np.frombuffer(blob, np.float64, 3 * n, 8).reshape(3, n)
+        tile.whole = np.frombuffer(blob, np.int8, -1, 8 + 24 * n).reshape(n, -1)
+        return tile
+
     def product(self, other: Tile) -> np.ndarray:
         """Approximate scores; sums of int8 products are whole numbers in either type."""
         kind = np.float32 if self.whole.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -57,46 +66,45 @@ def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def searched(pairs: DataFrame, k: int) -> DataFrame:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, heaps, floors = None, None, None, None
-
-        def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in heaps.rows(ids)], names=["query_id", "vec_id", "score"]
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if row["group"] != group:
-                    if group is not None:
-                        yield rows()
-                    group, ids = row["group"], np.frombuffer(row["q_ids"], np.int64)
-                    queries = np.frombuffer(row["q_data"], np.float64).reshape(-1, dim)
-                    tile = Tile(queries)
-                    heaps = Heaps(len(ids), k, np.full(len(ids), -np.inf))
-                    floors = np.full((len(ids), k), -np.inf)
-                block = np.frombuffer(row["data"], np.float64).reshape(-1, dim)
-                own, other = np.frombuffer(row["ids"], np.int64), Tile(block)
-                about, error = tile.product(other), tile.error(other)
-                same = ids[:, None] == own[None]
-                lower = about - error
-                lower[same] = -np.inf
-                both = np.concatenate([floors, lower], axis=1)
-                floors = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                level = np.maximum(floors.min(axis=1), heaps.kth())
-                survive = (about + error >= level[:, None]) & ~same
-                at_q, at_v = np.nonzero(survive)
-                scores = exact_scores(queries[at_q], block[at_v])
-                edges = np.searchsorted(at_q, np.arange(len(ids) + 1))
-                for q in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[q], edges[q + 1])
-                    heaps.add(q, own[at_v[part]], scores[part])
-        if group is not None:
-            yield rows()
-
-    return pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+class TileCodec:
+    """Blocks as int8 tiles, and the bounds that a tile product gives."""
+
+    def __init__(self, queries: np.ndarray):
+        self.tile = Tile(queries)
+
+    @staticmethod
+    def code(data: np.ndarray) -> bytes:
+        return Tile(data).bytes()
+
+    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        other = Tile.read(data)
+        about, error = self.tile.product(other), self.tile.error(other)
+        return about - error, about + error
+
+
+def recompute(k: int):
+    """Visitors that score the pairs whose upper bound reaches what their query holds."""
+
+    class Recompute:
+        def __init__(self, group, ids, queries, bounds):
+            self.ids, self.queries, self.codec = ids, queries, TileCodec(queries)
+            self.heaps = Heaps(len(ids), k, bounds)
+
+        def add(self, own, data):
+            block = matrix(data, self.queries.shape[1])
+            _, upper = self.codec.bounds(TileCodec.code(block))
+            survive = (upper >= self.heaps.kth()[:, None]) & (self.ids[:, None] != own[None])
+            at_q, at_v = np.nonzero(survive)
+            scores = exact_scores(self.queries[at_q], block[at_v])
+            edges = np.searchsorted(at_q, np.arange(len(self.ids) + 1))
+            for q in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[q], edges[q + 1])
+                self.heaps.add(q, own[at_v[part]], scores[part])
+
+        def rows(self):
+            return self.heaps.rows(self.ids)
+
+    return Recompute
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -107,10 +115,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     are results of their own; queries that repeat one count once. Ties go to the smaller
     id. Fewer than ``k`` candidates are all returned.
     """
-    blocks = staged(pack(vectors.where(usable("vec", True)), BLOCK_ROWS, "float64"), "ann-blocks")
-    asked = first_of_each(queries.where(usable("vec", True)))
-    groups = staged(pack(asked, GROUP_ROWS, "float64"), "ann-groups")
-    return best(searched(met(blocks, groups).sortWithinPartitions("group"), k), k)
+    good, asked = vectors.where(usable("vec", True)), queries.where(usable("vec", True))
+    return bounded_search(good, asked, k, TileCodec, recompute(k), "double")
 
 
 def self_nearest(table: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame:

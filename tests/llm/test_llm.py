@@ -4,6 +4,8 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import reduce
+from operator import add, mul
 
 import duckdb
 import numpy as np
@@ -336,6 +338,36 @@ def test_vectors_with_awkward_rows(spark):
     assert nearest.self_nearest(table.limit(0)).count() == 0 and exact_topk.self_search(table.limit(0)).count() == 0
 
 
+def test_large_and_uneven_components(spark):
+    """Scores beyond 2 ** 53 are whole; rows of very unlike sizes and copies of one vector meet."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-3, 7)).tolist()) for i in range(400)]
+    rows += [(1000 + i, rows[50][1]) for i in range(30)] + [(2000 + i, rng.normal(size=4).tolist()) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for every, k, search, value in (
+        (50, 5, exact_topk.self_search, lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))),
+        (20, 20, nearest.self_nearest, lambda a, b: reduce(add, map(mul, dict(rows)[a], dict(rows)[b]), 0.0)),
+    ):
+        got = {}
+        for r in search(table).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in [i for i, _ in rows if i % every == 0]:
+            others = [(value(q, i), i) for i, v in rows if i != q and len(v) == len(dict(rows)[q])]
+            best = sorted(others, key=lambda x: (-x[0], x[1]))[:k]
+            assert sorted(got[q]) == [(n + 1, i, score) for n, (score, i) in enumerate(best)]
+
+
+def test_cells_bound_every_score():
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(200, 16)) * 10.0 ** rng.integers(-4, 9, (200, 1))
+    for codec, exact in ((exact_topk.Cells, lambda x: np.floor(256 * x)), (nearest.TileCodec, lambda x: x)):
+        lower, upper = codec(data[:40]).bounds(codec.code(data))
+        score = exact(data[:40]).astype(np.longdouble) @ exact(data).astype(np.longdouble).T
+        assert (lower <= score).all() and (score <= upper).all()
+    assert len(exact_topk.Cells.code(data)) == 8 + 200 * 18
+
+
 def test_classifiers_on_held_out_rows(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
