@@ -97,30 +97,23 @@ class LanguageModel:
         return np.array(self.names, object)[best], odds[np.arange(len(best)), best]
 
 
-def train_windows(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, sizes, answers = [], [], []
-    for text, label in zip(texts, labels):
-        raw = text.encode()
-        places = range(0, max(len(raw), 1), WINDOW)
-        for at in places[:: max(1, len(places) // TRAIN_WINDOWS)][:TRAIN_WINDOWS]:
-            part = raw[at : at + WINDOW]
-            if part:
-                rows.append(np.frombuffer(part.ljust(WINDOW + PAD, b"\0"), np.uint8))
-                sizes.append(len(part))
-                answers.append(label)
-    return np.array(rows), np.array(sizes), np.array(answers)
+def spread_windows(text: str) -> list[bytes]:
+    """At most ``TRAIN_WINDOWS`` windows, from places spread over the whole text."""
+    raw = text.encode()
+    places = range(0, len(raw), WINDOW)
+    return [raw[at : at + WINDOW] for at in places[:: max(1, len(places) // TRAIN_WINDOWS)][:TRAIN_WINDOWS]]
 
 
 def train(
-    texts: list[str], langs: list[str], dim: int = 8, filters: int = 8, epochs: int = 5, seed: int = 11
+    windows: list[bytes], langs: list[str], dim: int = 8, filters: int = 8, epochs: int = 5, seed: int = 11
 ) -> LanguageModel | None:
     """Fit the network by Adam on mini-batches; ``None`` where there is nothing to learn."""
     names = sorted(set(langs))
     if not names:
         return None
-    x, sizes, y = train_windows(texts, [names.index(lang) for lang in langs])
-    if not len(x):
-        return None
+    x = np.array([np.frombuffer(w.ljust(WINDOW + PAD, b"\0"), np.uint8) for w in windows])
+    sizes = np.array([len(w) for w in windows])
+    y = np.array([names.index(lang) for lang in langs])
     rng = np.random.default_rng(seed)
     parts = {"embed": rng.normal(0, 0.5, (256, dim))}
     for width in WIDTHS:
@@ -171,11 +164,12 @@ def train(
     return LanguageModel(names, parts["embed"], kernels, parts["dense"], parts["bias"])
 
 
-def labelled_sample(docs: DataFrame) -> list:
-    """A bounded sample of rows with a lang and crc32(doc_id) mod 3 other than 1.
+def labelled_sample(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, text)`` of a bounded sample: rows with a lang and crc32(doc_id) mod 3 other than 1.
 
     Chosen by a hash of the id on narrow rows, so many of each language and so many in all;
-    texts are fetched for the chosen rows only. Rows without id or text take no part.
+    texts are fetched for the chosen rows only. A repeated id counts once, as its smallest
+    lang and text. Rows without id or text take no part.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -184,13 +178,25 @@ def labelled_sample(docs: DataFrame) -> list:
     ids = ids.select(F.col("doc_id").alias("own_id")).distinct()
     # At most TRAIN_ROWS ids: bounded by the parameter.
     found = usable.join(F.broadcast(ids), F.col("doc_id") == F.col("own_id"), "left_semi")
-    found = found.select("doc_id", "lang", F.substring("text", 1, 64 * WINDOW).alias("text"))
-    return sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))[:TRAIN_ROWS]
+    found = found.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "one.lang", "one.text")
 
 
 def fit(docs: DataFrame) -> LanguageModel | None:
-    found = labelled_sample(docs)
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    """Windows are cut where texts lie; the driver gets at most ``TRAIN_WINDOWS`` of each row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spread_windows(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.binary()))],
+                names=["doc_id", "lang", "windows"],
+            )
+
+    rows = labelled_sample(docs).mapInArrow(cut, "doc_id long, lang string, windows array<binary>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    pairs = [(bytes(w), r["lang"]) for r in rows for w in r["windows"]]
+    return train([w for w, _ in pairs], [lang for _, lang in pairs])
 
 
 def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -26,9 +26,8 @@ from offerloom.llm.common import crc_mod
 from offerloom.llm.encode import slices
 
 BUCKET_BITS = 17
-#: Bound of the training sample, and of the bytes taken from one of its texts.
+#: Bound of the training sample, whose texts are read whole.
 TRAIN_ROWS = 5_000
-TRAIN_BYTES = 16_384
 THRESHOLD = 0.3
 
 
@@ -79,20 +78,22 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text, and how often each occurs."""
+    raw = (text or "").encode()
+    found = features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return np.unique(np.concatenate([b for b, _ in found]), return_counts=True)
+
+
 def train(
-    texts: list[str | None], labels: list[int], dim: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 7
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 12, rate: float = 4.0,
+    seed: int = 7,
 ) -> QualityModel:
     """Fit bucket vectors and softmax weights; without two classes, a constant answer."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         sure = 4.0 if not len(y) or y[0] == 1 else -4.0
         return QualityModel(np.zeros(1 << BUCKET_BITS, np.float32), sure)
-    cut = [(t or "").encode()[:TRAIN_BYTES] for t in texts]
-    bags = []
-    for raw in cut:
-        data = np.frombuffer(raw, np.uint8)
-        found = features(data, np.array([0, len(raw)]))
-        bags.append(np.unique(np.concatenate([b for b, _ in found]), return_counts=True))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -130,24 +131,40 @@ def train(
     return QualityModel((table @ slope).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
-    """At most ``rows`` labelled rows whose crc32(doc_id) mod 5 is not 0, by a hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``(doc_id, quality, text)`` of at most ``rows`` labelled documents, by a hash order.
 
-    Ids are chosen from the narrow table first; a doc_id with several labels counts as the
-    lower one, null ids and labels take no part.
+    Only ids whose crc32 mod 5 is not 0 take part. Ids are chosen from the narrow table first; a
+    doc_id with several labels counts as the lower one, with several texts as the
+    smallest. Null ids and labels take no part.
     """
     ids = labels.where(F.col("quality").isin(0, 1) & (crc_mod("doc_id", 5) != 0))
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` ids: bounded by the parameter.
-    found = docs.select(F.col("doc_id").alias("own_id"), F.substring("text", 1, TRAIN_BYTES).alias("text"))
+    found = docs.select(F.col("doc_id").alias("own_id"), "text")
     found = found.join(F.broadcast(ids), F.col("own_id") == F.col("doc_id"))
-    return sorted(found.select("doc_id", "quality", "text").collect(), key=lambda r: (r[0], r[2] or ""))[:rows]
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    found = labelled_sample(docs, labels, rows)
-    return train([r["text"] for r in found], [r["quality"] for r in found])
+    """Bags are made where texts lie; the driver gets one of at most 2 ** BUCKET_BITS buckets for each document."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bag(text.as_py()) for text in batch.column("text")]
+            blobs = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("quality"), *blobs], names=["doc_id", "quality", "buckets", "counts"]
+            )
+
+    sample = labelled_sample(docs, labels, rows).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"
+    )
+    found = sample.mapInArrow(made, "doc_id long, quality int, buckets binary, counts binary").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    bags = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in found]
+    return train(bags, [r["quality"] for r in found])
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
