@@ -31,6 +31,8 @@ PAD = max(WIDTHS)
 TRAIN_ROWS_EACH = 400
 TRAIN_ROWS = 4_000
 TRAIN_WINDOWS = 3
+#: Parts in which the rows of one language are ranked first.
+RANK_PARTS = 64
 UNKNOWN = "und"
 
 
@@ -172,9 +174,13 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     lang and text. Rows without id or text take no part.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
-    ids = ids.where(F.col("rank") <= TRAIN_ROWS_EACH).orderBy("rank", "lang").limit(TRAIN_ROWS)
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    ids = ids.withColumn("part", F.pmod("hash", F.lit(RANK_PARTS)))
+    # The first of a language are among the first of its parts: no task ranks a whole language.
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy("hash", "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRAIN_ROWS_EACH)
+    ids = ids.orderBy("rank", "lang").limit(TRAIN_ROWS)
     ids = ids.select(F.col("doc_id").alias("own_id")).distinct()
     # At most TRAIN_ROWS ids: bounded by the parameter.
     found = usable.join(F.broadcast(ids), F.col("doc_id") == F.col("own_id"), "left_semi")
