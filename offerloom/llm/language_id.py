@@ -31,7 +31,7 @@ PAD = max(WIDTHS)
 TRAIN_ROWS_EACH = 400
 TRAIN_ROWS = 4_000
 TRAIN_WINDOWS = 3
-#: Parts in which the rows of one language are ranked first.
+#: Parts in which the rows of one language are ranked first; then one task ranks at most so many times TRAIN_ROWS_EACH.
 RANK_PARTS = 64
 UNKNOWN = "und"
 
@@ -175,7 +175,8 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
-    ids = ids.withColumn("part", F.pmod("hash", F.lit(RANK_PARTS)))
+    # By scan task, as each task sends on no more than the first of a language and a part.
+    ids = ids.withColumn("part", F.spark_partition_id() % RANK_PARTS)
     # The first of a language are among the first of its parts: no task ranks a whole language.
     for keys in (("lang", "part"), ("lang",)):
         order = Window.partitionBy(*keys).orderBy("hash", "doc_id")
