@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.text import parse_bool, parse_number
 from offerloom.operators.dedupe import keep_first, row_hash
 from offerloom.operators.filters import not_listed
-from offerloom.operators.skew import CELL_PAIRS, CELL_ROWS, grid_join
+from offerloom.operators.skew import CELL_PAIRS, CELL_ROWS, grid_join, salted_join
 
 RULE_KEYS = ("seniority", "location", "work_modality_english", "remote", "in_english")
 # A criteria table up to this many narrow rows is sent to every task.
@@ -99,3 +99,30 @@ def match_rules(
     else:
         joined = grid_join(narrow, wanted, RULE_KEYS, "job_id", "user_id", cell_pairs, cell_rows)
     return joined.select("user_id", "job_id")
+
+
+def matched_totals(
+    offers: DataFrame,
+    profiles: DataFrame,
+    number: Column,
+    excluded_companies: Sequence[str] = (),
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """``(user_id, n_offers, least, total)``: how many offers each seeker's rules admit, and the
+    smallest and the sum of ``number``, an expression on ``job_id``, over them.
+
+    The same as grouping ``match_rules`` by seeker, without its pairs: an offer has one
+    combination of rule keys, so offers are summed up by combination and only these rows meet
+    the criteria. A combination that most seekers accept is many tasks.
+    """
+    # One struct as the key: equal structs agree in their nulls too, and columns of one constant
+    # are not taken out of the join.
+    combination = F.struct(*RULE_KEYS).alias("combination")
+    each = rule_offers(offers, excluded_companies).groupBy(combination).agg(
+        F.count("*").alias("n_offers"), F.min(number).alias("least"), F.sum(number).alias("total")
+    )
+    wanted = criteria(profiles).select("user_id", combination)
+    joined = salted_join(wanted, each, ["combination"], "user_id", cell_rows)
+    return joined.groupBy("user_id").agg(
+        F.sum("n_offers").alias("n_offers"), F.min("least").alias("least"), F.sum("total").alias("total")
+    )

@@ -13,7 +13,7 @@ from offerloom.operators.availability import (
     with_check_results,
 )
 from offerloom.operators.embedding import HashingModel, embed_phrases, hashing_factory
-from offerloom.operators.rules import criteria, match_rules, parse_seekers
+from offerloom.operators.rules import criteria, match_rules, matched_totals, parse_seekers
 from offerloom.operators import scoring
 from offerloom.operators.scoring import score_matches
 from offerloom.plans.embed import embed_offers, embed_seekers
@@ -256,6 +256,44 @@ def test_rule_join_has_no_nested_loop(spark, monkeypatch):
         assert "CartesianProduct" not in df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("cell_rows", [2, 1_000_000])
+def test_matched_totals_equal_grouped_pairs(spark, cell_rows):
+    """Hot combinations, repeated and null offers and excluded companies; no pair is made."""
+    offers = spark.createDataFrame(
+        [(None if i % 11 == 0 else str(i // 2), "usual" if i % 5 else None, "1995" if i % 7 else "1996", "any", True,
+          "bad" if i % 13 == 0 else None, [True, False, None][i % 3]) for i in range(400)],
+        "job_id string, seniority string, location string, work_modality_english string, remote boolean, company string, is_english boolean",
+    )
+    profiles = spark.createDataFrame(
+        [(f"u{i}", ["usual", "usual"] if i % 4 else [None, "usual"], ["1995", "1996"] if i % 3 else ["1997"], ["any"], [True, False], i % 2 == 0)
+         for i in range(60)],
+        "user_id string, seniority array<string>, location array<string>, work_modality_english array<string>, remote array<boolean>, english boolean",
+    )
+    job = F.col("job_id").cast("long")
+    pairs = match_rules(offers, profiles, ["bad"])
+    expected = pairs.groupBy("user_id").agg(F.count("*"), F.min(job), F.sum(job))
+    got = matched_totals(offers, profiles, job, ["bad"], cell_rows)
+    assert rows(got) == rows(expected) and got.count() == 40
+
+
+def test_skewed_rule_query_makes_no_pairs(spark, tmp_path):
+    """3,000 offers and 600 seekers share one combination: 1.8 million pairs, but 600 joined rows."""
+    from offerloom.bindings.matching import rule_filter_skewed
+
+    spark.range(3_000).select(
+        F.col("id").alias("o_orderkey"), F.lit("2-HIGH").alias("o_orderpriority"),
+        F.lit("1995-03-01").cast("timestamp").alias("o_orderdate"), F.lit("O").alias("o_orderstatus"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(600).select((F.col("id") * 20).alias("s_suppkey"), F.lit(7).alias("s_nationkey")).write.parquet(
+        f"{tmp_path}/supplier.parquet"
+    )
+    found = rule_filter_skewed(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Offers are summed up below the join: their key is not among what is joined.
+    assert "o_orderkey" not in plan.split("Join Inner")[0]
+    assert {tuple(r)[1:] for r in found.collect()} == {(3_000, 0, 2_999 * 1_500)} and found.count() == 600
+
+
 def test_a_repeated_seeker_counts_once(spark):
     profiles = parse_seekers(seeker_table(spark, {}, {"role_weight": "0.1"}))
     assert profiles.count() == 1
