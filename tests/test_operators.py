@@ -277,3 +277,36 @@ def test_anchors_leave_the_scan_near_to_the_hits(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     # The filter's words are a constant by then, and nothing is shuffled before it.
     assert "from_json" not in plan and "Exchange" not in plan and 300 <= hits.count() < 320
+
+
+def test_join_route_moves_one_row_for_each_tag(spark):
+    """A text that repeats a term gives one row for it in a window, whatever follows the term."""
+    texts = spark.range(50).select(
+        F.col("id").alias("key"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("kubernetes "), i)), " ").alias("text")
+    )
+    anchors = spark.createDataFrame([("kubernetes",), ("kube",), ("és",), ("netes 49",)], "anchor string")
+    hits = tagging.anchor_hits(texts, anchors)
+    assert hits.count() < 200 and hits.distinct().count() == 150
+
+
+@pytest.mark.parametrize("window", [7, 64, 1 << 16])
+def test_substrings_in_windows(monkeypatch, window):
+    """Members across windows are found, those across texts are not, and multi-byte ones are."""
+    import pyarrow as pa
+
+    from offerloom.operators import substrings
+
+    monkeypatch.setattr(substrings, "WINDOW", window)
+    members = ["a", "ñu", "logical", "a longer one", "xyz"]
+    texts = ["", "a longer one", None, "lo", "gical ñu ñu", "zoological a longer oneañu", "xy", "z"]
+    flat, bounds = substrings._flat(pa.array([m.encode() for m in members]))
+    sums, sizes = substrings._Sums(flat, *substrings._tables(len(flat))), np.diff(bounds)
+    first, whole = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+    for out, least, of in ((first, substrings.FIRST + 1, np.minimum(sizes, substrings.FIRST)), (whole, 0, sizes)):
+        for h in sums.hashes(bounds[:-1], of)[sizes >= least].tolist():
+            out[[h & 0xFFFFF, h >> 32 & 0xFFFFF]] = True
+    data, bounds = substrings._flat(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+    found = set()
+    for text, begin, size in substrings._found(data, bounds, sorted(set(sizes.tolist())), first, whole):
+        found |= {(t, bytes(data[b : b + n]).decode()) for t, b, n in zip(text.tolist(), begin.tolist(), size.tolist())}
+    assert found == {(i, m) for i, t in enumerate(texts) for m in members if t and m in t}
