@@ -23,7 +23,7 @@ _TAIL = ".,!?;:|&$%*#@+-=_/()<>"
 MEMO_ENTRIES = 600_000
 #: Longer chunks are encoded anew in every batch.
 MEMO_CHARS = 256
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 
 
 class ChunkEncoder:
@@ -122,6 +122,9 @@ class ChunkEncoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = pool[np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[edges]
+        # Arrow keeps what a batch of pieces took; a worker that lives long gives it back.
+        del texts, pieces, flat, coded
+        pa.default_memory_pool().release_unused()
         return ids, bounds
 
     def _first_chunks(self, texts, whole, edges, codes, words, pool, begins, sizes):
