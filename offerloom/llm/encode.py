@@ -101,9 +101,9 @@ class ChunkEncoder:
         new = [w for w, blob in zip(words, blobs) if blob is None]
         if new:
             if len(self.memo) + len(new) > self.memo_entries:
-                self.memo.clear()
+                # What this batch holds stays and need not be learned again.
+                self.memo = {w: blob for w, blob in zip(words, blobs) if blob is not None}
                 self.tails.clear()
-                new = words
             self._learn(new)
             blobs = [self.memo[w] if blob is None else blob for w, blob in zip(words, blobs)]
             for word in new:

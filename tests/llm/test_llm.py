@@ -391,3 +391,16 @@ def test_pipeline(spark):
         assert after.columns == table.columns and after.count() > 0, name
         before = after
     assert corpus_pipeline.run(spark, FOLDER).count() >= before.count()
+
+
+def test_a_full_memo_keeps_what_the_batch_holds(monkeypatch):
+    """Chunks of a batch that are known when the memo is full are not learned a second time."""
+    import pyarrow as pa
+
+    tool = encode.ChunkEncoder(common.tokenizer_path("byte_bpe_50k.json"), True, memo_entries=6)
+    learned, learn = [], tool._learn
+    monkeypatch.setattr(tool, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    for text in ("a b1 c2 d3", "b1 c2 e4 f5 g6", "b1 h7"):
+        ids, _ = tool.encode(pa.array([text]))
+        assert ids.tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids
+    assert learned.count("b1") == 1 and learned.count("c2") == 1

@@ -428,3 +428,14 @@ def test_seekers_come_and_go(spark):
     assert set(got) == {"u1", "u2"}
     assert got["u2"].avg_role_embeds == [2.0] * 16
     assert got["u1"].avg_role_embeds == pytest.approx(vector("DE", "MLE"), abs=1e-6)
+
+
+def test_made_pages_get_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """A small table of parts makes large pages, so its rows and not its bytes give the tasks."""
+    from offerloom.bindings import pages
+
+    spark.range(1_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert pages._spread_parts(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(pages, "_TASK_PARTS", 90)
+    spread = pages._spread_parts(spark, str(tmp_path))
+    assert spread.rdd.getNumPartitions() == 12 and spread.distinct().count() == 1_000
