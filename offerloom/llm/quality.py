@@ -4,7 +4,7 @@ Features of a text are its words, its pairs of adjacent words and its runs of th
 five bytes, each hashed to a bucket. A pair's hash is the exclusive or of its words'
 hashes, so that every word that follows itself falls into one bucket. A document is the
 mean of its buckets' vectors, followed by a softmax; all is trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows.
+gradient descent in numpy, in one task, on a bounded sample of labelled rows.
 
 The output is linear in the bucket vectors, so a trained model scores a text by the mean
 of one number per feature: the vector's product with the difference of the class weights.
@@ -148,7 +148,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    """Bags are made where texts lie; the driver gets one of at most 2 ** BUCKET_BITS buckets for each document."""
+    """Bags are made where texts lie, one of at most 2 ** BUCKET_BITS buckets for each document.
+
+    One task meets the at most ``rows`` bags in the order of their ids and trains; the driver
+    gets one number per bucket, whatever the texts hold.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,13 +162,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
                 [batch.column("doc_id"), batch.column("quality"), *blobs], names=["doc_id", "quality", "buckets", "counts"]
             )
 
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, truth = [], []
+        for batch in batches:
+            pairs = zip(batch.column("buckets"), batch.column("counts"))
+            bags.extend(tuple(np.frombuffer(x.as_py(), np.int32) for x in pair) for pair in pairs)
+            truth.extend(batch.column("quality").to_pylist())
+        model = train(bags, truth)
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [float(model.bias)]})
+
     sample = labelled_sample(docs, labels, rows).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"
     )
-    found = sample.mapInArrow(made, "doc_id long, quality int, buckets binary, counts binary").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in found]
-    return train(bags, [r["quality"] for r in found])
+    bags = sample.mapInArrow(made, "doc_id long, quality int, buckets binary, counts binary")
+    found = bags.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learned, "weights binary, bias double").collect()
+    # Without labelled rows there may be no task.
+    return QualityModel(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else train([], [])
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -383,6 +383,24 @@ def test_classifiers_on_held_out_rows(spark, odd, empty):
     assert quality.quality_scores(odd, labels).count() == 11 and quality.quality_scores(empty, labels).count() == 0
 
 
+def test_quality_is_learned_in_a_task(spark, monkeypatch):
+    """Bags of texts stay away from the driver, which gets one number per bucket."""
+    import os
+
+    def elsewhere(*args, driver=os.getpid(), train=quality.train):
+        assert os.getpid() != driver, "the driver trains"
+        return train(*args)
+
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    sample = quality.labelled_sample(docs, labels).orderBy("doc_id").collect()
+    plain = quality.train([quality.bag(r.text) for r in sample], [r.quality for r in sample])
+    monkeypatch.setattr(quality, "train", elsewhere)
+    model = quality.fit(docs, labels)
+    assert model.weights.any() and (model.weights == plain.weights).all() and model.bias == plain.bias
+
+
 def test_pipeline(spark):
     table = common.documents(spark, FOLDER)
     before = table
