@@ -35,8 +35,9 @@ from offerloom.operators.sizing import broadcast_if_small
 LONG_LIST = 40
 MOST_MOVED = 200_000
 ROUNDS = 6
-#: Sets with more keys do not say which key comes first; their pairs are made distinct later.
-FEW_KEYS = 64
+#: So many of its first keys a set shows at its later ones, to tell a pair once.
+#: It steers cost only: a pair is never passed over at its first common key.
+FIRST_KEYS = 64
 SIGNS = ("p0", "p1", "p2", "p3")
 #: No set above this size is enumerated, whatever the costs.
 LIGHT_MOST = 20
@@ -161,11 +162,9 @@ def parities(elements: np.ndarray) -> np.ndarray:
 
 
 def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light: int) -> DataFrame:
-    """``(class, n, key, p0..p3, earlier)``: subset keys of light sets, list entries of others.
+    """``(class, n, key, p0..p3)``: subset keys of light sets, list entries of others.
 
-    A light set that may link with a heavy one stands in the lists too. ``earlier`` holds the
-    keys that the same set names before this one, in an order that all sets share, so that a
-    pair can be told at its first common key; sets with many keys leave it empty.
+    A light set that may link with a heavy one stands in the lists too.
     """
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +172,7 @@ def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light:
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             sizes = batch.column("n").to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            keys, signs, before = [], [], []
+            keys, signs = [], []
             for n, end in zip(sizes.tolist(), ends.tolist()):
                 own = np.sort(flat[end - n : end])
                 part = [subset_keys(own, num, den)] if n <= light else []
@@ -181,25 +180,20 @@ def list_entries(sets: DataFrame, moved: np.ndarray, num: int, den: int, light:
                     part.append(prefix(own, moved, num, den))
                 keys.append(np.unique(np.concatenate(part)))
                 signs.append(parities(own))
-                few = len(keys[-1]) if len(keys[-1]) <= FEW_KEYS else 0
-                before.extend(keys[-1][:i].view(np.int64) if few else keys[-1][:0].view(np.int64) for i in range(len(keys[-1])))
             counts = [len(x) for x in keys]
             sign = np.repeat(np.array(signs, np.int64).reshape(-1, 4), counts, axis=0)
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in before])]).astype(np.int32)
-            earlier = np.concatenate([np.zeros(0, np.int64), *before])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column("class").to_numpy(zero_copy_only=False), counts)),
                     pa.array(np.repeat(sizes, counts)),
                     pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)),
                     *[pa.array(np.ascontiguousarray(sign[:, i])) for i in range(4)],
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(earlier)),
                 ],
-                names=["class", "n", "key", *SIGNS, "earlier"],
+                names=["class", "n", "key", *SIGNS],
             )
 
     signs = ", ".join(f"{p} long" for p in SIGNS)
-    return sets.mapInArrow(entries, f"class long, n long, key long, {signs}, earlier array<long>")
+    return sets.mapInArrow(entries, f"class long, n long, key long, {signs}")
 
 
 def light_boundary(sizes: DataFrame, scan: float, num: int, den: int) -> int:
@@ -243,17 +237,25 @@ def _unlike_lists(named: DataFrame) -> DataFrame:
     """``key``: of lists that hold the same sets, the one with the first key.
 
     Texts that share a passage share a list for each of its shingles; one of those tells all of
-    their pairs. Lists are compared by their sizes and two sums of hashes. Keys are ordered as
-    in ``earlier``, so the first common key of a pair is never passed over.
+    their pairs. Lists are compared by their sizes and two sums of hashes.
     """
     def total(seed: int) -> Column:
         return F.sum(F.xxhash64("class", F.lit(seed)).cast("decimal(38,0)"))
 
     lists = named.groupBy("key").agg(F.count("*").alias("sets"), total(1).alias("one"), total(2).alias("two"))
-    # Keys are unsigned numbers.
-    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
-    firsts = lists.groupBy("sets", "one", "two").agg(F.min(F.struct(unsigned.alias("at"), "key")).alias("first"))
-    return firsts.select("first.key")
+    return lists.groupBy("sets", "one", "two").agg(F.min("key").alias("key")).select("key")
+
+
+def _with_earlier(named: DataFrame) -> DataFrame:
+    """Add ``earlier``: those of the first ``FIRST_KEYS`` keys of a row's set that come before its key.
+
+    Sets that show an earlier key in common are told there, so a pair of large sets that share a
+    long passage does not become a row for each shingle of it.
+    """
+    keys = F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS)
+    firsts = named.groupBy(F.col("class").alias("own")).agg(keys.alias("firsts"))
+    found = named.join(firsts, F.col("class") == F.col("own"))
+    return found.withColumn("earlier", F.filter("firsts", lambda x: x < F.col("key"))).drop("own", "firsts")
 
 
 def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,12 +274,12 @@ def links(sets: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     star = star.select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"))
     first = staged(_verified(star.distinct(), sets, num, den), "jaccard-links")
     named = listed.join(components(first), F.col("class") == F.col("node"), "left")
-    named = named.select("key", "class", "n", *SIGNS, "earlier", F.coalesce("root", "class").alias("root"))
+    named = named.select("key", "class", "n", *SIGNS, F.coalesce("root", "class").alias("root"))
     # Lists whose sets are all in one component have nothing left to compare.
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_keys = open_keys.where(F.col("lo") < F.col("hi")).select("key")
     named = staged(named.join(open_keys, "key", "left_semi").dropDuplicates(["class", "key"]), "jaccard-open")
-    named = named.join(_unlike_lists(named), "key", "left_semi")
+    named = staged(_with_earlier(named.join(_unlike_lists(named), "key", "left_semi")), "jaccard-cross")
     other = named.select(*[F.col(c).alias(f"b_{c}") for c in named.columns])
     cross = named.join(
         other,

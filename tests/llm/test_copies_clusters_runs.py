@@ -261,6 +261,23 @@ def test_families_under_one_passage(spark):
     assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(sets)
 
 
+def test_pairs_of_large_sets_are_told_once(spark):
+    """Sets of hundreds of keys that share many meet in one row for each pair, and no pair is lost."""
+    from pyspark.sql import functions as F
+    from offerloom.llm import jaccard_join
+
+    rng = random.Random(3)
+    held = {c: set(rng.sample(range(-500, 500), 400)) for c in range(6)} | {6: {499, 7}, 7: {498, 499}, 8: {7}}
+    named = spark.createDataFrame([(c, k) for c, keys in held.items() for k in keys], "class long, key long")
+    named = jaccard_join._with_earlier(named)
+    assert named.agg(F.max(F.size("earlier"))).first()[0] == jaccard_join.FIRST_KEYS
+    other = named.select(*[F.col(c).alias(f"b_{c}") for c in named.columns])
+    met = named.join(other, (F.col("key") == F.col("b_key")) & (F.col("class") < F.col("b_class")) & ~F.arrays_overlap("earlier", "b_earlier"))
+    pairs = [(r["class"], r.b_class) for r in met.collect()]
+    assert set(pairs) == {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    assert len(pairs) < 1.2 * len(set(pairs))
+
+
 def test_internal_names_as_columns(spark):
     """Columns named like those used inside pass through mixing, line dedup and language."""
     from offerloom.llm import language_id, line_dedup, mixing
