@@ -232,6 +232,22 @@ def test_short_lines_and_lines_without_spaces(spark):
     assert got == {0: rows[0], 1: "我们今天去公园散步\nab", 2: "---\n\n。。\n我们明天去公园"}
 
 
+def test_lines_name_no_key_and_normalise_no_more_than_needed(spark):
+    """Short lines meet by segments alone, and rows are normalised once."""
+    rows = [(1, "a short line of words\nanother one, of fifty-six characters and no more x y z"), (2, "word " * 12 + "end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.distinct_lines(table)
+    lengths = {r.h: r.len for r in lines.collect()}
+    named = {r.h for r in line_dedup.line_keys(lines).where("info >= 0").collect()}
+    assert {lengths[h] for h in named} == {n for n in lengths.values() if n > 56} and min(lengths.values()) < 57
+    plan = line_dedup.line_rows(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    texts = ["a" * 24, "b " + "c" * 24 + " d", "c" * 23 + " " + "d" * 23, "e \u0e01\u0e02", "plain words"]
+    found = spark.createDataFrame([(t,) for t in texts], "norm string")
+    got = [r[0] for r in found.select(line_dedup._tokens("norm")).collect()]
+    assert [len(t) for t in got] == [24, 26, 2, 3, 2]
+
+
 def test_long_lines_have_the_same_edit_bound(spark):
     body = "alpha " * 1_500
     near = [body + " ".join(f"{c}{i:03}" for i in range(140)) for c in ("bbb", "xyz")]
