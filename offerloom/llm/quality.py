@@ -12,7 +12,7 @@ of one number per feature: the vector's product with the difference of the class
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerloom.llm.bytesview import SLICE_BYTES, Words, bytes_of, mixed
+from offerloom.llm.bytesview import Words, bytes_of, mixed
 from offerloom.llm.common import crc_mod
 from offerloom.llm.encode import slices
 
 BUCKET_BITS = 17
 #: Bound of the training sample, whose texts are read whole.
 TRAIN_ROWS = 5_000
+#: Text whose features are held at once: they take more than a hundred bytes for each of its own.
+SLICE_BYTES = 512 << 10
+_COUNTS = (np.uint8, np.uint16, np.int32)
 THRESHOLD = 0.3
 
 
@@ -85,8 +88,41 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([b for b, _ in found]), return_counts=True)
 
 
+def packed(found: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, int, bytes]:
+    """A bag in 3 bytes a bucket for most texts, not 8: low 16 bits, how many are below 2 ** 16, and counts."""
+    buckets, counts = found
+    kind = next(k for k in _COUNTS if counts.max(initial=0) <= np.iinfo(k).max)
+    low = int(np.searchsorted(buckets, 1 << 16))
+    return buckets.astype(np.uint16).tobytes(), low, counts.astype(kind).tobytes()
+
+
+def unpacked(low_bits: pa.Buffer, low: int, counts: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """The bag of which ``packed`` made this; the lengths tell the type of the counts."""
+    buckets = np.frombuffer(low_bits, np.uint16).astype(np.int32)
+    buckets[low:] += 1 << 16
+    kind = next(k for k in _COUNTS if np.dtype(k).itemsize * len(buckets) == len(counts))
+    return buckets, np.frombuffer(counts, kind).astype(np.int32)
+
+
+class PackedBags(Sequence):
+    """Bags that stay packed in the batches they came in, and are unpacked one at a time."""
+
+    def __init__(self):
+        self.parts: list[tuple[pa.Buffer, int, pa.Buffer]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        columns = (batch.column(name) for name in ("buckets", "low", "counts"))
+        self.parts.extend((b.as_buffer(), low.as_py(), c.as_buffer()) for b, low, c in zip(*columns))
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return unpacked(*self.parts[i])
+
+
 def train(
-    bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 12, rate: float = 4.0,
+    bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 12, rate: float = 4.0,
     seed: int = 7,
 ) -> QualityModel:
     """Fit bucket vectors and softmax weights; without two classes, a constant answer."""
@@ -107,13 +143,13 @@ def train(
         for at in range(0, len(order), 32):
             now = rate * (1 - step / steps)
             step += 1
-            rows = [i for i in order[at : at + 32]]
-            full = [i for i in rows if len(bags[i][0])]
+            held = {i: bags[i] for i in order[at : at + 32]}
+            full = [i for i in held if len(held[i][0])]
             if not full:
                 continue
-            ids = np.concatenate([bags[i][0] for i in full])
-            sizes = np.array([len(bags[i][0]) for i in full])
-            share = np.concatenate([bags[i][1] / bags[i][1].sum() for i in full]).astype(np.float32)
+            ids = np.concatenate([held[i][0] for i in full])
+            sizes = np.array([len(held[i][0]) for i in full])
+            share = np.concatenate([held[i][1] / held[i][1].sum() for i in full]).astype(np.float32)
             hidden = np.add.reduceat(table[ids] * share[:, None], np.cumsum(sizes) - sizes, axis=0)
             logits = hidden @ out + bias
             logits -= logits.max(axis=1, keepdims=True)
@@ -151,22 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
     """Bags are made where texts lie, one of at most 2 ** BUCKET_BITS buckets for each document.
 
     One task meets the at most ``rows`` bags in the order of their ids and trains; the driver
-    gets one number per bucket, whatever the texts hold.
+    gets one number per bucket, whatever the texts hold. Bags move and wait packed, and tasks that
+    make them hold those of ``SLICE_BYTES`` of text at a time.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(text.as_py()) for text in batch.column("text")]
-            blobs = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), *blobs], names=["doc_id", "quality", "buckets", "counts"]
-            )
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = zip(*(packed(bag(text.as_py())) for text in part.column("text")))
+                columns = [pa.array(x, kind) for x, kind in zip(found, (pa.binary(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("quality"), *columns],
+                    names=["doc_id", "quality", "buckets", "low", "counts"],
+                )
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags, truth = [], []
+        bags, truth = PackedBags(), []
         for batch in batches:
-            pairs = zip(batch.column("buckets"), batch.column("counts"))
-            bags.extend(tuple(np.frombuffer(x.as_py(), np.int32) for x in pair) for pair in pairs)
+            bags.add(batch)
             truth.extend(batch.column("quality").to_pylist())
         model = train(bags, truth)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [float(model.bias)]})
@@ -174,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
     sample = labelled_sample(docs, labels, rows).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"
     )
-    bags = sample.mapInArrow(made, "doc_id long, quality int, buckets binary, counts binary")
+    bags = sample.mapInArrow(made, "doc_id long, quality int, buckets binary, low int, counts binary")
     found = bags.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learned, "weights binary, bias double").collect()
     # Without labelled rows there may be no task.
     return QualityModel(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else train([], [])
@@ -195,6 +233,8 @@ def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(scores)], names=[*part.schema.names, "quality_score"]
                 )
+                # Arrow keeps what it took; a worker that lives long gives it back.
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(score, schema)
 

@@ -417,6 +417,30 @@ def test_quality_is_learned_in_a_task(spark, monkeypatch):
     assert model.weights.any() and (model.weights == plain.weights).all() and model.bias == plain.bias
 
 
+def test_bags_wait_packed(spark, monkeypatch):
+    """Bags take at most half of eight bytes a bucket, and unpack to what they were."""
+    import pyarrow as pa
+
+    texts = ["", "one", "a b " * 400, " ".join(f"word{i}" for i in range(3_000))]
+    found = [quality.bag(text) for text in texts]
+    assert max(found[2][1]) > 255 and max(found[3][0]) >= 1 << 16 > min(found[3][0])
+    columns = zip(*map(quality.packed, found))
+    kinds = (pa.binary(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["buckets", "low", "counts"])
+    bags = quality.PackedBags()
+    bags.add(batch)
+    assert len(bags) == len(texts)
+    for got, want in zip(bags, found):
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and len(got[0]) == len(want[0])
+    assert [sum(len(x) for x in quality.packed(f)[::2]) / len(f[0]) for f in found[1:]] == [3, 4, 4]
+    monkeypatch.setattr(quality, "SLICE_BYTES", 100)
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    sample = quality.labelled_sample(docs, labels).orderBy("doc_id").collect()
+    plain = quality.train([quality.bag(r.text) for r in sample], [r.quality for r in sample])
+    assert np.allclose(quality.fit(docs, labels).weights, plain.weights, rtol=0, atol=1e-5)
+
+
 def test_pipeline(spark):
     table = common.documents(spark, FOLDER)
     before = table
