@@ -257,6 +257,39 @@ def test_long_lines_have_the_same_edit_bound(spark):
     assert got == {0: 0, 1: 1, 2: 0}
 
 
+def test_lines_move_in_parts_whose_shuffles_go(spark, monkeypatch):
+    """Keys move by kind and texts in rounds; no shuffle outlives the action that made it, and no result changes."""
+    import time
+
+    rows = [(i, f"{'first' * (i % 7)} line of text with words {i // 2} and more of them to pass the bound of short ones\nshort {i % 3}") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.without_repeated_lines(table).collect()))
+    assert 0 < sum(r[3] for r in want) < 24
+    blocks, written = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), []
+
+    def files():
+        return set(blocks.getAllFiles().mkString("|").split("|"))
+
+    def noted(df, name, **options):
+        found = common.staged(df, name, **options)
+        written.append(name)
+        return found
+
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    monkeypatch.setattr(line_dedup, "ROUND_CHARS", 1_000)
+    before = files()
+    gone = line_dedup.without_repeated_lines(table)
+    for _ in range(50):
+        left = {f for f in files() - before if "shuffle_" in f}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert written.count("line-listed") == 3 and written.count("line-links") > 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(map(tuple, gone.collect())) == want
+
+
 def test_lines_against_plain_version(spark, docs):
     """Exact copies all go but one; links lead from every line that is lost to a kept one."""
     norm = lambda x: " ".join(re.findall("[a-z0-9\u0080-\U0010ffff]+", x.lower()))
