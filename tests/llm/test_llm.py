@@ -1,5 +1,6 @@
 """Dealt operators against brute force, SQL and round trips, and on awkward rows."""
 
+import os
 import hashlib
 import re
 import zlib
@@ -290,6 +291,62 @@ def test_lines_move_in_parts_whose_shuffles_go(spark, monkeypatch):
     assert sorted(map(tuple, gone.collect())) == want
 
 
+def test_lines_at_a_common_run_are_no_pairs(spark, monkeypatch):
+    """Lines that share one common run do not become pairs; those that share two such runs meet."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    rows = []
+    for n in range(200):
+        first = ["usualaa", "usualbb", "usualcc"] if n < 120 else [word() for _ in range(3)]
+        last = ["usualdd", "usualee", "usualff"] if n >= 80 else [word() for _ in range(3)]
+        rows.append((n, " ".join([*(word() for _ in range(2)), *first, *(word() for _ in range(2)), *last, *(word() for _ in range(2))])))
+    # Of one line an edit is in a word, of another one in every word beside the two common runs.
+    rows.append((200, rows[3][1][:-1] + "é"))
+    rows.append((201, " ".join(w if w.startswith("usual") else w[:3] + "é" + w[4:] for w in rows[100][1].split())))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, possible = [], line_dedup._possible
+
+    def noted(lines, pairs):
+        asked.append(pairs.count())
+        return possible(lines, pairs)
+
+    monkeypatch.setattr(line_dedup, "_possible", noted)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.without_repeated_lines(table).collect()}
+    assert {i for i, n in got.items() if n} == {200, 201}
+    assert 200 < sum(asked) < 2_000, asked
+
+
+def test_lines_at_a_common_passage_meet(spark):
+    """Where many lines share all but a few runs, links between them are found."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    usual = " ".join(word() for _ in range(6))
+    rows = [(n, " ".join([word(), word(), word(), usual, word(), word(), word()])) for n in range(90)]
+    rows.append((90, " ".join(w if w in usual.split() else w[:3] + "é" + w[4:] for w in rows[50][1].split())))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.without_repeated_lines(table).collect()}
+    assert {i for i, n in got.items() if n} == {90}
+
+
+def test_lines_leave_few_staged_rows(spark, monkeypatch):
+    """Rows of keys and pairs go after the last step that reads them; keys of blocks are listed in rounds."""
+    rows = [(i, f"{'first' * (i % 7)} line of text with words {i // 2} and more of them to pass the bound of short ones\nshort {i % 3}") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want, left = sorted(map(tuple, line_dedup.without_repeated_lines(table).collect())), {}
+
+    def noted(df, name, **options):
+        found = common.staged(df, name, **options)
+        left.setdefault(name, []).extend({f.rsplit("/", 1)[0].removeprefix("file:") for f in found.inputFiles()})
+        return found
+
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    monkeypatch.setattr(line_dedup, "ROUND_ROWS", 8, raising=False)
+    assert sorted(map(tuple, line_dedup.without_repeated_lines(table).collect())) == want
+    for name in ("line-simhashes", "line-listed", "line-possible", "line-asked-texts"):
+        assert left[name] and not any(map(os.path.exists, left[name])), name
+    assert len(left["line-listed"]) > 3
+
+
 def test_lines_against_plain_version(spark, docs):
     """Exact copies all go but one; links lead from every line that is lost to a kept one."""
     norm = lambda x: " ".join(re.findall("[a-z0-9\u0080-\U0010ffff]+", x.lower()))
